@@ -113,9 +113,12 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with METRICS, ``base_failed`` (any of BASE_RULES broken) and ``kept`` (no rule broken)."""
-    df = columns_clear(df, "base_failed", "kept")
+    df = columns_clear(df, "base_failed", "kept", "_ok", "_place")
     base = tuple(r for r in RULES if r.name in BASE_RULES)
-    return metrics(df, text).withColumns({"base_failed": ~verdict(base), "kept": verdict(base) & verdict(rules)})
+    judged = metrics(df, text).withColumns({"base_failed": ~verdict(base), "_ok": verdict(base) & verdict(rules), "_place": F.monotonically_increasing_id()})
+    # the place is never negative, but no optimizer knows: a filter on the verdict stays above the projection, where the
+    # metrics are computed once, instead of repeating their expressions in itself
+    return judged.withColumn("kept", F.col("_ok") & (F.col("_place") >= 0)).drop("_ok", "_place")
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

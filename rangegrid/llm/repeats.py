@@ -15,6 +15,7 @@ empty table gives an empty table; other columns are not carried; texts of any le
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangegrid.llm.common import text_batches
+from rangegrid.llm.common import text_batches, written
 from rangegrid.llm.near import mixed, powers, text_bytes
 
 LEAST, ANCHOR = 200, 40
@@ -224,17 +225,29 @@ def _find(least: int, anchor: int):
     return run
 
 
-def _contexts(least: int):
-    """(r1, r2, hash, c1, c2, packed, text) of a document's anchors that occur again; c1 and c2 stand for the context's bytes."""
+#: Bytes of distinct contexts that a task holds to count copies before it passes them on.
+HELD = 32 << 20
+
+
+def _contexts(least: int, with_text: bool):
+    """Contexts of a document's anchors that occur again; c1 and c2 stand for a context's bytes and its anchor's place in it.
+
+    With text: (hash, c1, c2, n, text), copies within the task counted; else (r1, r2, hash, c1, c2, base), one row each.
+    """
 
     def run(batches):
+        held, size = {}, 0
+
+        def out():
+            keys = list(zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in keys], pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.binary())], names=["hash", "c1", "c2", "n", "text"])
+
         for b in text_batches(batches, limit=BLOCK):
             get = lambda k, b=b: b.column(b.schema.get_field_index(k))
-            raw, offsets = text_bytes(get("text"))
-            marks = pc.fill_null(pc.list_value_length(get("marks")), 0)
-            count = np.asarray(marks, np.int64)
+            count = np.asarray(pc.fill_null(pc.list_value_length(get("marks")), 0), np.int64)
             if not count.sum():
                 continue
+            raw, offsets = text_bytes(get("text"))
             flat = get("marks").flatten()
             h, packed = np.asarray(flat.field("hash")), np.asarray(flat.field("packed"))
             doc = np.repeat(np.arange(len(count)), count)
@@ -242,16 +255,25 @@ def _contexts(least: int):
             doc, h, packed = doc[order], h[order], packed[order]
             keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1])])  # rows alike have found each other's anchors
             doc, h, packed = doc[keep], h[keep], packed[keep]
-            lo = offsets[doc] + (packed >> 32) - (packed >> 16 & 0xFFFF)
+            base = (packed >> 32) - (packed >> 16 & 0xFFFF)
+            lo = offsets[doc] + base
             stop = lo + (packed & 0xFFFF) + least
-            c = [_Hashes(raw, base).of(lo, stop) + mixed((packed & 0xFFFFFFFF).astype(_U)) for base in (_ONE, _TWO)]
+            c1, c2 = ((_Hashes(raw, p).of(lo, stop) + mixed((packed & 0xFFFFFFFF).astype(_U))).view(np.int64) for p in (_ONE, _TWO))
+            if not with_text:
+                yield pa.RecordBatch.from_arrays([get("r1").take(pa.array(doc)), get("r2").take(pa.array(doc)), pa.array(h), pa.array(c1), pa.array(c2), pa.array(base)], names=["r1", "r2", "hash", "c1", "c2", "base"])
+                continue
             blob = raw.tobytes()
-            for at in range(0, len(lo), 20_000):
-                s = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(get("r1"))[doc[s]]), pa.array(np.asarray(get("r2"))[doc[s]]), pa.array(h[s]), pa.array(c[0][s].view(np.int64)), pa.array(c[1][s].view(np.int64)), pa.array(packed[s]), pa.array([blob[x:y] for x, y in zip(lo[s].tolist(), stop[s].tolist(), strict=True)], pa.binary())],
-                    names=["r1", "r2", "hash", "c1", "c2", "packed", "text"],
-                )
+            for key, x, y in zip(zip(h.tolist(), c1.tolist(), c2.tolist(), strict=True), lo.tolist(), stop.tolist(), strict=True):
+                if key in held:
+                    held[key][0] += 1
+                else:
+                    held[key] = [1, blob[x:y]]
+                    size += y - x
+            if size > HELD:
+                yield out()
+                held, size = {}, 0
+        if held:
+            yield out()
 
     return run
 
@@ -263,15 +285,32 @@ def _runs(cover: np.ndarray, begin: int, size: int) -> tuple[list[int], list[int
 
 
 def _cover(least: int):
-    """(hash, c1, c2, starts, stops): covered runs of contexts, by an enhanced suffix array over those that share anchors."""
+    """(hash, c1, c2, starts, stops): covered runs of contexts, by an enhanced suffix array over those that share anchors.
 
-    def scan(rows: list[tuple]):
+    Rows come in order of (hash, c1, c2); those of copies that different tasks counted are added up. A context that no
+    other shares the anchor with has nothing to be compared with: its tree is one leaf, and copies make it a repeat.
+    """
+
+    def scan(rows: list[list]):
         _, _, begin, cover = maximal_repeats([r[4] for r in rows], least, [r[3] for r in rows])
         for k, r in enumerate(rows):
             starts, stops = _runs(cover, int(begin[k]), len(r[4]))
             if starts:
                 yield (*r[:3], starts, stops)
 
+    def merged(batches):
+        last = None
+        for b in batches:
+            for row in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("hash", "c1", "c2", "n", "text")), strict=True):
+                if last and last[:3] == list(row[:3]):
+                    last[3] += row[3]
+                else:
+                    if last:
+                        yield last
+                    last = list(row)
+        if last:
+            yield last
+
     def run(batches):
         rows, size, done = [], 0, []
 
@@ -280,16 +319,21 @@ def _cover(least: int):
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "c1", "c2", "starts", "stops"])
 
-        for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("hash", "c1", "c2", "n", "text")), strict=True):
-                if size > ARRAY and row[0] != rows[-1][0]:
-                    done += scan(rows)
-                    rows, size = [], 0
-                    if len(done) > 10_000:
-                        yield out()
-                        done = []
-                rows.append(row)
-                size += len(row[4]) + 1
+        for _, own in groupby(merged(batches), key=lambda r: r[0]):
+            first = next(own)
+            second = next(own, None)
+            if second is None:
+                done += [(*first[:3], [0], [len(first[4])])] if first[3] > 1 else []
+            else:
+                for r in chain((first, second), own):
+                    rows.append(r)
+                    size += len(r[4]) + 1
+            if size > ARRAY:
+                done += scan(rows)
+                rows, size = [], 0
+            if len(done) > 10_000:
+                yield out()
+                done = []
         if rows:
             done += scan(rows)
         if done:
@@ -336,14 +380,13 @@ def dedup(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int =
     # the texts are dealt once: every later stage reads this exchange again
     dealt = keyed.repartition("r1", "r2")
     found = keyed.mapInArrow(_find(least, anchor), "r1 bigint, r2 int, hash bigint, packed bigint")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # a table of its own, so that a join with an anchor that very many documents share can be split
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "anchors")
     marks = found.join(again, "hash").groupBy("r1", "r2").agg(F.collect_list(F.struct("hash", "packed")).alias("marks"))
-    contexts = dealt.join(marks.hint("shuffle_hash"), ["r1", "r2"], "left").mapInArrow(_contexts(least), "r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, packed bigint, text binary")
-    # copies of a context are one row with a count, by partial counts before the shuffle
-    distinct = contexts.groupBy("hash", "c1", "c2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    covered = distinct.repartition("hash").sortWithinPartitions("hash").mapInArrow(_cover(least), "hash bigint, c1 bigint, c2 bigint, starts array<int>, stops array<int>")
-    base = (F.shiftright("packed", 32) - F.shiftright("packed", 16).bitwiseAND(0xFFFF)).alias("base")
-    hits = contexts.select("r1", "r2", "hash", "c1", "c2", base).join(covered, ["hash", "c1", "c2"])
+    marked = dealt.join(marks.hint("shuffle_hash"), ["r1", "r2"], "left")
+    distinct = marked.mapInArrow(_contexts(least, True), "hash bigint, c1 bigint, c2 bigint, n bigint, text binary")
+    covered = distinct.repartition("hash").sortWithinPartitions("hash", "c1", "c2").mapInArrow(_cover(least), "hash bigint, c1 bigint, c2 bigint, starts array<int>, stops array<int>")
+    hits = marked.mapInArrow(_contexts(least, False), "r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, base bigint").join(covered, ["hash", "c1", "c2"])
     runs = hits.select("r1", "r2", "base", F.explode(F.arrays_zip("starts", "stops")).alias("x")).select("r1", "r2", F.struct((F.col("base") + F.col("x.starts")).alias("s"), (F.col("base") + F.col("x.stops")).alias("e")).alias("x"))
     spans = runs.groupBy("r1", "r2").agg(F.collect_list("x").alias("spans"))
     return dealt.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")

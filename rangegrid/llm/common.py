@@ -61,7 +61,7 @@ def word_count(text):
 # ---- tokenizing ----
 
 #: Words a worker keeps with their ids; beyond that it starts anew. Only memory depends on it, results don't.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Letters that the vocabulary's normal form changes by case only, so that such a word may go straight to the model.
 _PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
 _TOKENIZERS: dict[str, tuple] = {}

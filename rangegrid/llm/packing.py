@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, most: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in text_batches(batches, "text"):
+        for b in text_batches(batches, "text", limit=2 << 20):
             ids, offsets = encode_column(b.column(b.schema.get_field_index("text")), path)
             n = np.diff(offsets) + 1
             count = (n + most - 1) // most

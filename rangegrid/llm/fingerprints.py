@@ -2,10 +2,11 @@
 
 Tokens are runs of at most eight non-space characters. Of the windows of K tokens, those count whose least inner window
 of S tokens (by hash) is the first or the last one: a choice that looks at nothing outside the window, so that an edit
-leaves all anchors elsewhere as they are. The fingerprint holds the SKETCH least hashes of these windows.
+leaves all anchors elsewhere as they are. The fingerprint holds all these windows, each with its place, whatever the
+length of the text: about two for three tokens. Likeness compares all hashes; no alignment of places is computed.
 
 Defined results: a null or empty text, or one of white space, has the empty fingerprint, which is like itself (1.0) and
-like no other (0.0); a text whose windows are none of them closed is marked by the hash of all its tokens; repeated rows
+like no other (0.0); a text whose windows are none of them closed is marked by the hash of all its tokens at place 0; repeated rows
 have equal fingerprints; documents with equal ids follow each other by text; a null id comes first; a table of one
 document has itself as its next; an empty table gives an empty table; clashing columns of the input are replaced.
 """
@@ -16,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K, S, SKETCH = 4, 2, 64
+K, S = 4, 2
+#: An anchor is one number: the place of its window's last token, then 31 bits of hash.
+PLACE_SHIFT, HASH_MASK = 32, 0x7FFFFFFF
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
 LEAST_ID = -(2**63)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, sketch: int = SKETCH) -> DataFrame:
-    """df with the fingerprint of ``text`` as a sorted array of 31-bit hashes in column ``out``."""
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the fingerprint of ``text`` in column ``out``: all anchors by place, repeated ones included, as an array of bigint."""
     kept = [c for c in df.columns if c != out]
     pad = F.array_repeat(F.lit(0).cast("long"), K - 1)
     step = df.withColumn("_tok", F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x)))
@@ -36,23 +39,32 @@ def with_fingerprint(df: DataFrame, text: str, out: str, sketch: int = SKETCH) -
         middle = F.least(*[s(i + k) for k in between]) if len(between) > 1 else s(i + between[0])
         closed = F.least(x, s(i + inner)) <= middle
         whole = F.get(F.col("_h"), i + K - 1).isNotNull()
-        return F.when(whole & closed, (F.xxhash64(*[x if k == 0 else s(i + k) for k in range(0, inner + 1, S)]).bitwiseAND(0x7FFFFFFF)).cast("int"))
+        own = F.xxhash64(*[x if k == 0 else s(i + k) for k in range(0, inner + 1, S)]).bitwiseAND(HASH_MASK)
+        return F.when(whole & closed, F.shiftleft(i.cast("long"), PLACE_SHIFT).bitwiseOR(own))
 
-    step = step.withColumn("_a", F.array_compact(F.array_distinct(F.transform("_s", anchor))))
-    alone = F.array(F.xxhash64("_tok").bitwiseAND(0x7FFFFFFF).cast("int"))
-    found = F.when(F.size("_tok") == 0, F.array().cast("array<int>")).when(F.size("_a") == 0, alone).otherwise(F.slice(F.sort_array("_a"), 1, sketch))
+    step = step.withColumn("_a", F.array_compact(F.transform("_s", anchor)))
+    alone = F.array(F.xxhash64("_tok").bitwiseAND(HASH_MASK))
+    found = F.when(F.size("_tok") == 0, F.array().cast("array<bigint>")).when(F.size("_a") == 0, alone).otherwise(F.col("_a"))
     return step.select(*kept, found.alias(out))
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """The share of the least hashes of both fingerprints together that are in each of them: an estimate of their Jaccard index."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, sketch)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / F.size(both))
+def hashes(a: Column) -> Column:
+    return F.transform(a, lambda x: x.bitwiseAND(HASH_MASK))
+
+
+def places(a: Column) -> Column:
+    return F.transform(a, lambda x: F.shiftright(x, PLACE_SHIFT).cast("int"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard index of the sets of all hashes of both fingerprints."""
+    shared, every = F.size(F.array_intersect(hashes(a), hashes(b))), F.size(F.array_union(hashes(a), hashes(b)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / every)
 
 
 def as_text(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """16 hexadecimal digits an anchor: its place in eight, its hash in eight."""
+    return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -85,10 +97,12 @@ def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs, "text", "fp"), ["text", "fp"])
+    # only texts are shuffled; all fingerprints are made after it
+    docs = with_next(docs, ["text"])
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_q", F.floor(F.col("n_chars") / 4).cast("int"))
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("_q")), F.substring(F.col("next_text"), F.lit(1), F.col("_q"))))
-    docs = with_fingerprint(docs.select("doc_id", "n_chars", "fp", "next_fp", "edited"), "edited", "edited_fp")
+    for text, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
+        docs = with_fingerprint(docs, text, out)
     return docs.select(
         "doc_id",
         "n_chars",

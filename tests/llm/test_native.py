@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rangegrid.llm import fingerprints, quality, secrets, shards
 from rangegrid.llm.common import new_path
@@ -117,6 +118,26 @@ def test_fingerprint_edges(spark):
     assert fingerprints.with_next(docs.select("doc_id", "text").limit(0), ["text"]).count() == 0
 
 
+def test_fingerprints_are_whole(spark):
+    own = [" ".join(f"{side}{k * 7919 % 100_003}" for k in range(20_000)) for side in "ab"]
+    passage = " ".join(f"c{k}" for k in range(200))
+    rows = [(own[0], own[1] + " " + passage, 0), (own[0] + " " + passage, own[1][:50_000] + " " + passage + " " + own[1][50_000:], 1)]
+    df = spark.createDataFrame(rows, "a string, b string, shares int")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
+    got = df.select("shares", fingerprints.likeness(F.col("x"), F.col("y")).alias("near"), *[f(F.col(c)).alias(n + c) for c in "xy" for f, n in ((fingerprints.hashes, "h"), (fingerprints.places, "p"))]).collect()
+    for r in got:
+        x, y = set(r.hx), set(r.hy)
+        assert r.near == len(x & y) / len(x | y) and len(r.hx) > 12_000 and len(r.hy) > 12_000
+        assert r.px == sorted(set(r.px)) and r.py == sorted(set(r.py))
+        if not r.shares:
+            continue
+        assert r.near > 0
+        # the passage lies at one distance in both texts
+        at = {h: p for h, p in zip(r.hx, r.px, strict=True) if p >= 20_003}
+        apart = Counter(p - at[h] for h, p in zip(r.hy, r.py, strict=True) if h in at)
+        assert apart.most_common(1)[0][1] > 100
+
+
 def test_shards(spark):
     store = shards.Store(spark, new_path(spark, "store"), target=400_000, fan_in=3)
     docs = odd_documents(spark).unionByName(odd_documents(spark))

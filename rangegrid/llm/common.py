@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process may it be unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at or "file:///tmp/rangegrid-shared"
 
 
@@ -28,10 +31,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of a row group of tables in the shared folder: what a writing task holds.
+ROW_GROUP = 16 << 20
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within: jobs hand Python at most so many rows at a time. Memory depends on it, results don't."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, rows_a_batch: int = 1000) -> DataFrame:
     """df, computed once and reread from a table in the shared folder: cuts lineage, and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_rows(spark, rows_a_batch):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,13 +80,36 @@ def word_count(text):
 
 # ---- tokenizing ----
 
-#: Words a worker keeps with their ids; beyond that it starts anew. Only memory depends on it, results don't.
-CACHE_WORDS = 250_000
+#: Bytes that a worker's words and their ids may take, about; only memory and time depend on it, results don't.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 64 << 20, 200, 64
 #: Letters that the vocabulary's normal form changes by case only, so that such a word may go straight to the model.
 _PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+class _Words:
+    """Ids of words in two generations: words that are asked for stay, the others go when the newer one is full."""
+
+    def __init__(self):
+        self.new, self.old, self.size = {}, {}, 0
+
+    def put(self, word: str, ids: bytes, most: int) -> None:
+        if len(word) > LONGEST_KEPT:
+            return
+        if self.size > most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[word] = ids
+        self.size += ENTRY_BYTES + len(word) + len(ids)
+
+    def get(self, word: str, most: int) -> bytes | None:
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is not None:
+                self.put(word, ids, most)
+        return ids
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -93,7 +136,7 @@ def _loaded(path: str) -> tuple:
         letters = _byte_letters()
         direct = all([x.id for x in t.model.tokenize(w.lower().translate(letters))] == t.encode(w, add_special_tokens=False).ids for w in probe if _PLAIN.fullmatch(w))
         spaced = [t.encode(x, add_special_tokens=False).ids for x in ("ab cd", "ab", "cd")]
-        _TOKENIZERS[path] = (t, {}, letters if direct else None, spaced[0] == spaced[1] + spaced[2])
+        _TOKENIZERS[path] = (t, _Words(), letters if direct else None, spaced[0] == spaced[1] + spaced[2])
     return _TOKENIZERS[path]
 
 
@@ -121,7 +164,7 @@ def _learn(path: str, words: list[str]) -> dict[str, bytes]:
     return found
 
 
-def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(texts: pa.Array, path: str, cache_bytes: int = CACHE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in turn as uint32, offsets): whole texts, nulls as empty ones, by the tokenizers library.
 
     A vocabulary that drops white space is asked for each distinct word once: no token of it spans white space, so the
@@ -135,20 +178,23 @@ def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(split.offsets, np.int64)
     coded = split.values.dictionary_encode()
-    code = np.asarray(coded.indices, np.int64)
+    code = np.asarray(coded.indices)
     words = coded.dictionary.to_pylist()
-    fresh = _learn(path, [w for w in words if w not in cache])
-    raw = [fresh[w] if w in fresh else cache[w] for w in words] if fresh else [cache[w] for w in words]
-    if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-    cache.update(fresh)
+    raw = [cache.get(w, cache_bytes) for w in words]
+    fresh = _learn(path, [w for w, ids in zip(words, raw, strict=True) if ids is None])
+    if fresh:
+        raw = [fresh[w] if ids is None else ids for w, ids in zip(words, raw, strict=True)]
+        for w, ids in fresh.items():
+            cache.put(w, ids, cache_bytes)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
     flat = np.frombuffer(b"".join(raw), np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     each = sizes[code]
     ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
-    ids = flat[np.repeat(starts[code] - ends[:-1], each) + np.arange(ends[-1])] if len(code) else np.zeros(0, np.uint32)
-    return ids, ends[bounds - bounds[0]]
+    kind = np.int32 if max(ends[-1], len(flat)) < 2**31 else np.int64
+    at = np.repeat((starts[code] - ends[:-1]).astype(kind), each)
+    at += np.arange(ends[-1], dtype=kind)
+    return flat[at], ends[bounds - bounds[0]]
 
 
 def text_batches(batches, column: str = "text", limit: int = 8 << 20):

@@ -17,20 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangegrid.llm.common import encode_column, text_batches, tokenizer_path, written
+from rangegrid.llm.common import CACHE_BYTES, encode_column, text_batches, tokenizer_path, written
 
-#: Tokens of a sequence; the id that ends a document; into how many parts the ranks of one length are dealt.
-MOST, END_ID, PARTS = 2048, 0, 64
+#: Tokens of a sequence; the id that ends a document; bytes of text that are tokenized at once.
+MOST, END_ID, AT_ONCE = 2048, 0, 4 << 20
+#: Pieces of one length that a task ranks; how many parts that may make.
+PIECES_A_PART, MOST_PARTS = 2_000, 20_000
 
 
-def pieces(docs: DataFrame, text: str = "text", path: str | None = None, most: int = MOST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32 [, ids]): every document's ids and the end id, cut only if longer than ``most``."""
+def pieces(docs: DataFrame, text: str = "text", path: str | None = None, most: int = MOST, end_id: int = END_ID, with_ids: bool = False, at_once: int = AT_ONCE, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 [, ids]): every document's ids and the end id, cut only if longer than ``most``.
+
+    A worker tokenizes about ``at_once`` bytes of text at a time and keeps words of ``cache_bytes``.
+    """
     path = path or tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in text_batches(batches, "text", limit=2 << 20):
-            ids, offsets = encode_column(b.column(b.schema.get_field_index("text")), path)
+        for b in text_batches(batches, "text", limit=at_once):
+            ids, offsets = encode_column(b.column(b.schema.get_field_index("text")), path, cache_bytes)
             n = np.diff(offsets) + 1
             count = (n + most - 1) // most
             doc = np.repeat(np.arange(len(n)), count)
@@ -116,31 +121,39 @@ def plan(counts: dict[int, int], most: int = MOST) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(cut: DataFrame, most: int = MOST, parts: int = PARTS) -> DataFrame:
+def pack(cut: DataFrame, most: int = MOST, pieces_a_part: int = PIECES_A_PART) -> DataFrame:
     """cut (of ``pieces``; must not change when computed again) with sequence_id and offset.
 
     The histogram has at most ``most`` rows and is all that the driver sees. Ranks within a length come from counts of
-    (length, part), so that a length that a third of all pieces have is ranked in ``parts`` tasks.
+    (length, part); a length has as many parts as its count asks for, so that one that a third of all pieces have is
+    ranked in many tasks. Full pieces need no rank: each is a sequence of its own, numbered after the planned ones.
     """
     spark = cut.sparkSession
-    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+    counts = {r[0]: r[1] for r in cut.where(F.col("length") < most).groupBy("length").count().collect()}
     slots = plan(counts, most)
+    used = max((first - -(to - start) // each for _, start, to, first, each, _ in slots), default=0)
+    full = cut.where(F.col("length") >= most).select(*cut.columns, (F.monotonically_increasing_id() + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # a row or two a length and split of a group: bounded by the number of lengths, checked before it is broadcast
+    if len(slots) > 64 * most + 64:
+        raise AssertionError(f"{len(slots)} rows in the plan for lengths up to {most}")
     table = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], "_length bigint, _from bigint, _to bigint, _first bigint, _each bigint, _offset bigint")
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
-    dealt = cut.withColumn("_part", part)
-    # at most most * parts rows
+    parts = {n: min(MOST_PARTS, -(-c // pieces_a_part)) for n, c in counts.items() if c > pieces_a_part}
+    of = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("length")], F.lit(1)) if parts else F.lit(1)
+    # a row a length and part: 20,000 parts of the commonest lengths at most
+    dealt = cut.where(F.col("length") < most).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of))
     sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("length", "_part", "_base")
     ranked = dealt.withColumn("_local", F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(base, ["length", "_part"]).withColumn("_rank", F.col("_base") + F.col("_local"))
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     at = F.col("_rank") - F.col("_from")
-    return placed.select(*cut.columns, (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"))
+    short = placed.select(*cut.columns, (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"))
+    return full.unionByName(short)
 
 
-def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, at_once: int = AT_ONCE, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """docs' pieces with the places that the plan gives them; with ``with_ids`` their token ids too."""
-    return pack(written(pieces(docs, text, path, with_ids=with_ids), "pieces"))
+    return pack(written(pieces(docs, text, path, with_ids=with_ids, at_once=at_once, cache_bytes=cache_bytes), "pieces"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from rangegrid.llm import chat, fingerprints, mixing, near, packing, quality, records, repeats, secrets, shards
+from rangegrid.llm import chat, fingerprints, mixing, near, packing, pipeline, quality, records, repeats, secrets, shards
 
 QUERIES = {
     "op1_suffix_dedup": repeats.query,
@@ -16,6 +15,6 @@ QUERIES = {
     "op8_sharding": shards.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL = {"op2_mix_sources": mixing.SQL, "op8_sharding": shards.SQL, "op10_quality_rules": quality.sql()}

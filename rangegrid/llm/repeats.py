@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangegrid.llm.common import text_batches, written
-from rangegrid.llm.near import mixed, powers, text_bytes
+from rangegrid.llm.near import mixed, text_bytes
 
 LEAST, ANCHOR = 200, 40
 #: Bytes of text handled at once, and bytes of contexts that one suffix array takes, if their groups allow.
-BLOCK, ARRAY = 2 << 20, 1 << 20
+BLOCK, ARRAY = 1 << 20, 1 << 20
 
 _U = np.uint64
 _ONE = _U(0x9E3779B97F4A7C15)
@@ -36,15 +36,28 @@ _TWO = _U(0xC2B2AE3D27D4EB4F)
 _INVERSE = {int(b): _U(pow(int(b), -1, 2**64)) for b in (_ONE, _TWO)}
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; n is a block and a context at most."""
+    key = int(base)
+    if key not in _POWERS or len(_POWERS[key]) < n:
+        p = np.full(max(n, BLOCK + 2 * LEAST + 2), base, _U)
+        p[0] = 1
+        _POWERS[key] = np.multiply.accumulate(p, out=p)
+    return _POWERS[key][:n]
+
+
 class _Hashes:
     """Hashes of any stretch of some bytes, by prefix sums of a polynomial modulo 2 ** 64."""
 
     def __init__(self, raw: np.ndarray, base: np.uint64):
         self.base, self.sums = base, np.zeros(len(raw) + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(1)) * powers(base, len(raw))[: len(raw)], out=self.sums[1:])
+        np.cumsum((raw.astype(_U) + _U(1)) * _powers(base, len(raw)), out=self.sums[1:])
 
     def of(self, begin, stop) -> np.ndarray:
-        down = powers(_INVERSE[int(self.base)], len(self.sums))
+        down = _powers(_INVERSE[int(self.base)], len(self.sums))
         return mixed((self.sums[stop] - self.sums[begin]) * down[begin])
 
 
@@ -198,7 +211,7 @@ def _blocks(raw: np.ndarray, offsets: np.ndarray, least: int):
         while to < n and offsets[to + 1] - offsets[d] <= BLOCK:
             to += 1
         a, z = int(offsets[d]), int(offsets[to])
-        if z - a <= BLOCK * 4:
+        if z - a <= BLOCK:
             yield d, 0, raw[a:z], offsets[d : to + 1] - a
         else:
             for at in range(a, z, BLOCK):
@@ -225,8 +238,22 @@ def _find(least: int, anchor: int):
     return run
 
 
+def _context_hashes(raw: np.ndarray, lo: np.ndarray, stop: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each stretch raw[lo:stop], block by block; a stretch is hashed with the block that it begins in."""
+    out = [np.zeros(len(lo), np.int64) for _ in range(2)]
+    order = np.argsort(lo, kind="stable")
+    cuts = np.searchsorted(lo[order], np.arange(0, len(raw) + BLOCK, BLOCK))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if x < y:
+            own, at = order[x:y], k * BLOCK
+            part = raw[at : int(stop[own].max())]
+            for c, p in zip(out, (_ONE, _TWO), strict=True):
+                c[own] = (_Hashes(part, p).of(lo[own] - at, stop[own] - at) + salt[own]).view(np.int64)
+    return out
+
+
 #: Bytes of distinct contexts that a task holds to count copies before it passes them on.
-HELD = 32 << 20
+HELD = 24 << 20
 
 
 def _contexts(least: int, with_text: bool):
@@ -258,16 +285,16 @@ def _contexts(least: int, with_text: bool):
             base = (packed >> 32) - (packed >> 16 & 0xFFFF)
             lo = offsets[doc] + base
             stop = lo + (packed & 0xFFFF) + least
-            c1, c2 = ((_Hashes(raw, p).of(lo, stop) + mixed((packed & 0xFFFFFFFF).astype(_U))).view(np.int64) for p in (_ONE, _TWO))
+            c1, c2 = _context_hashes(raw, lo, stop, mixed((packed & 0xFFFFFFFF).astype(_U)))
             if not with_text:
                 yield pa.RecordBatch.from_arrays([get("r1").take(pa.array(doc)), get("r2").take(pa.array(doc)), pa.array(h), pa.array(c1), pa.array(c2), pa.array(base)], names=["r1", "r2", "hash", "c1", "c2", "base"])
                 continue
-            blob = raw.tobytes()
+            blob = memoryview(raw)
             for key, x, y in zip(zip(h.tolist(), c1.tolist(), c2.tolist(), strict=True), lo.tolist(), stop.tolist(), strict=True):
                 if key in held:
                     held[key][0] += 1
                 else:
-                    held[key] = [1, blob[x:y]]
+                    held[key] = [1, bytes(blob[x:y])]
                     size += y - x
             if size > HELD:
                 yield out()
@@ -349,7 +376,7 @@ def _cut():
         for b in text_batches(batches):
             get = lambda k, b=b: b.column(b.schema.get_field_index(k))
             raw, offsets = text_bytes(get("text"))
-            blob, spans = raw.tobytes(), get("spans").to_pylist()
+            blob, spans = memoryview(raw), get("spans").to_pylist()
             rows = []
             for k, own in enumerate(spans):
                 a, z = int(offsets[k]), int(offsets[k + 1])
@@ -382,13 +409,13 @@ def dedup(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int =
     found = keyed.mapInArrow(_find(least, anchor), "r1 bigint, r2 int, hash bigint, packed bigint")
     # a table of its own, so that a join with an anchor that very many documents share can be split
     again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "anchors")
-    marks = found.join(again, "hash").groupBy("r1", "r2").agg(F.collect_list(F.struct("hash", "packed")).alias("marks"))
+    marks = found.join(again, "hash").groupBy("r1", "r2").agg(F.collect_set(F.struct("hash", "packed")).alias("marks"))
     marked = dealt.join(marks.hint("shuffle_hash"), ["r1", "r2"], "left")
     distinct = marked.mapInArrow(_contexts(least, True), "hash bigint, c1 bigint, c2 bigint, n bigint, text binary")
     covered = distinct.repartition("hash").sortWithinPartitions("hash", "c1", "c2").mapInArrow(_cover(least), "hash bigint, c1 bigint, c2 bigint, starts array<int>, stops array<int>")
     hits = marked.mapInArrow(_contexts(least, False), "r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, base bigint").join(covered, ["hash", "c1", "c2"])
     runs = hits.select("r1", "r2", "base", F.explode(F.arrays_zip("starts", "stops")).alias("x")).select("r1", "r2", F.struct((F.col("base") + F.col("x.starts")).alias("s"), (F.col("base") + F.col("x.stops")).alias("e")).alias("x"))
-    spans = runs.groupBy("r1", "r2").agg(F.collect_list("x").alias("spans"))
+    spans = runs.groupBy("r1", "r2").agg(F.collect_set("x").alias("spans"))
     return dealt.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
 

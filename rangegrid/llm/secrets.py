@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from rangegrid.llm.common import columns_clear
 
-#: Kind -> (pattern, group that must be long enough, its least length).
+#: Kind -> (pattern, group that must be long enough, its least length). A run that is too short as a whole has no
+#: longer part, so that the lengths of access and hex stand in their patterns; one of assign that fails still takes its text.
 BASE = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 4, 12),
-    "access": (r"AKIA[A-Z0-9]+", 2, 18),
-    "hex": (r"[0-9a-f]+", 2, 16),
+    "access": (r"AKIA[A-Z0-9]{14,}", 2, 18),
+    "hex": (r"(?<![0-9a-f])[0-9a-f]{16,}", 2, 16),
 }
 #: Candidates for entropy, the characters they are made of, and the window.
-CANDIDATE, ALPHABET, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20
+CANDIDATE, ALPHABET, WINDOW = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20
 #: Character class -> (pattern of the candidate, least entropy of a window in bits), first match counts; the last takes all
 #: the others. Of random strings of 20 characters, 1 % or less of each class stay below the bound.
 CLASSES = {

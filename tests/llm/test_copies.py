@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-import corpus_pipeline
+import corpus_pipeline  # noqa: F401
 from rangegrid.llm import near, packing, quality, repeats
 from rangegrid.llm.components import components
 from tests.llm.helpers import SMALL, docs_of, odd_documents, words

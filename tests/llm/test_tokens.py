@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rangegrid.llm import chat, mixing, packing, records
@@ -126,12 +127,49 @@ def test_chat(spark, budget, history):
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(made).collect()}
     assert got == conversations_by_hand(rows)
     for r in made.collect():
-        assert r.n_tokens <= budget or r.n_new == 1
         turns = chat.parse(r.formatted)
-        assert len(turns) == r.n_repeated + r.n_new and (r.conv_id != -3 or turns[0][0] == "system")
+        assert r.n_tokens == sum(len(ids_of(t)) + chat.OVERHEAD for _, t, _, _ in turns)
+        assert r.n_tokens <= budget or (r.n_new == 1 and r.n_repeated == 0)
+        assert len(turns) == r.n_repeated + r.n_new and (budget < 2048 or r.conv_id != -3 or turns[0][0] == "system")
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_chat_budget_holds():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        budget, history = int(rng.integers(20, 200)), int(rng.integers(0, 120))
+        sizes = rng.integers(1, int(rng.integers(2, 260)), int(rng.integers(1, 30))).tolist()
+        turns = [("system" if k == 0 and rng.integers(2) else ("user", "assistant")[k % 2], f"t{k}", n) for k, n in enumerate(sizes)]
+        state = chat._Conversation(budget, history)
+        rows = [r for t in turns for r in state.add(*t)] + list(state.end())
+        own = {t[1]: t for t in turns}
+        new, learned = [], []
+        for window, first, repeated, n_new, tokens, formatted, starts, stops in rows:
+            held = [own[text] for _, text, _, _ in chat.parse(formatted)]
+            assert tokens == sum(t[2] for t in held) and len(held) == repeated + n_new
+            assert tokens <= budget or (len(held) == 1 and held[0][2] > budget)
+            assert first == len(new)
+            new += held[repeated:]
+            learned += [formatted[a:z] for a, z in zip(starts, stops, strict=True)]
+            # what is repeated stands right before the new turns, save for the system turn
+            past = [t for t in held[:repeated] if t[0] != "system"]
+            assert past == turns[first - len(past) : first] and sum(t[2] for t in past) <= history
+        assert new == turns and learned == [t[1] for t in turns if t[0] == "assistant"]
+
+
+def test_chat_query(spark, tmp_path):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (2, 0, "assistant", "é <|im_end|> \\ end"), (None, 0, "user", "x"), (2, 1, "assistant", "more " * 3000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.query(spark, str(tmp_path))
+    assert got.columns == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    want = conversations_by_hand([*rows, (-1, 0, "user", tricky), (-1, 1, "assistant", tricky)])
+    assert {r.conv_id: tuple(r)[1:5] for r in got.collect()} == want
+    made = {r.conv_id: r for r in chat.windows(df).groupBy("conv_id").agg(F.sum(F.char_length("formatted")).alias("n")).collect()}
+    assert {r.conv_id: r.formatted_chars for r in got.collect() if r.conv_id != -1} == {k: r.n for k, r in made.items()}
+
+
 def check_packing(got, docs, most=2048):
     want = Counter()
     for r in docs:

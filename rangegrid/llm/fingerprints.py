@@ -1,14 +1,20 @@
-"""Document fingerprints from closed syncmers; native expressions only.
-
-Tokens are runs of at most eight non-space characters. Of the windows of K tokens, those count whose least inner window
-of S tokens (by hash) is the first or the last one: a choice that looks at nothing outside the window, so that an edit
-leaves all anchors elsewhere as they are. The fingerprint holds all these windows, each with its place, whatever the
-length of the text: about two for three tokens. Likeness compares all hashes; no alignment of places is computed.
-
-Defined results: a null or empty text, or one of white space, has the empty fingerprint, which is like itself (1.0) and
-like no other (0.0); a text whose windows are none of them closed is marked by the hash of all its tokens at place 0; repeated rows
-have equal fingerprints; documents with equal ids follow each other by text; a null id comes first; a table of one
-document has itself as its next; an empty table gives an empty table; clashing columns of the input are replaced.
+"""Document fingerprints from closed syncmers, matched by position; native expressions only.
+
+Every text is seen as its windows of K characters (code points). Of these, those count whose least inner string of S
+characters (by hash) is the first or the last one: a choice that looks at nothing outside the window, so that an edit
+leaves all anchors that it doesn't touch as they are, with or without spaces in the text. The fingerprint holds all
+these windows, each with its place, whatever the length of the text: about one in eight characters begins one.
+
+Likeness matches by position: an anchor counts as found in another text only where the same anchor is followed by the
+same next anchor at the same distance. It is the Jaccard index of the sets of such links, 1 for equal texts.
+
+Defined results: a null or empty text has the empty fingerprint, which is like itself (1.0) and like no other (0.0); a
+text without a closed window (shorter than K, for one) is marked by its own hash at place 0; of equal least strings any
+counts, so that a run of one character is an anchor at each place; repeated rows have equal fingerprints; documents with
+equal ids follow each other by text; a null id comes first; ids may be of any type that can be ordered; a table of one
+document has itself as its next; an empty table gives an empty table; input columns named as an added one are replaced,
+all others stay; a long text is read whole, in overlapping blocks within its row, and its anchors (8 bytes each) are one
+array.
 """
 
 from __future__ import annotations
@@ -17,35 +23,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K, S = 4, 2
-#: An anchor is one number: the place of its window's last token, then 31 bits of hash.
+from rangegrid.llm.common import columns_clear, fresh
+
+#: Characters of a window and of its inner strings: 16 inner strings, whose least one is found by twice four.
+K, S = 20, 5
+#: An anchor is one number: the place of its window's first character, then 31 bits of hash.
 PLACE_SHIFT, HASH_MASK = 32, 0x7FFFFFFF
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
-LEAST_ID = -(2**63)
+#: Windows of a text that are looked at together: what a row needs beside its text and its anchors.
+BLOCK = 4096
+#: Rows of a range of ids; the most ranges; ids sampled to place the borders where ids are no numbers.
+ROWS_A_RANGE, MOST_RANGES, SAMPLED_IDS = 2_000, 65_536, 100_000
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a fold over an array of one element gives it a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _anchors(text: Column, at: Column) -> Column:
+    """Anchors of one block, which begins at place ``at``."""
+    inner = K - S  # the last inner string of a window begins so many characters after the first
+
+    def of(s: Column, fours: Column) -> Column:
+        def anchor(x, i):
+            least = F.least(F.get(fours, i), *[F.get(fours, i + k) for k in (4, 8, inner - 3)])
+            last = F.get(s, i + inner)
+            own = F.xxhash64(x, *[F.get(s, i + k) for k in range(S, inner + 1, S)]).bitwiseAND(HASH_MASK)
+            return F.when(last.isNotNull() & ((x == least) | (last == least)), F.shiftleft(at + i, PLACE_SHIFT).bitwiseOR(own))
+
+        return F.array_compact(F.transform(s, anchor))
+
+    hashed = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
+    fours = lambda s: F.transform(s, lambda x, i: F.least(x, *[F.get(s, i + k) for k in (1, 2, 3)]))
+    return _let(hashed, lambda s: _let(fours(s), lambda m: of(s, m)))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of ``text`` in column ``out``: all anchors by place, repeated ones included, as an array of bigint."""
-    kept = [c for c in df.columns if c != out]
-    pad = F.array_repeat(F.lit(0).cast("long"), K - 1)
-    step = df.withColumn("_tok", F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x)))
-    step = step.withColumn("_h", F.concat(pad, F.col("_tok")))
-    step = step.withColumn("_s", F.transform("_h", lambda x, i: F.xxhash64(x, F.get(F.col("_h"), i + 1))))
-    inner = K - S  # the last inner window of a window begins so many tokens later
-    s = lambda i: F.get(F.col("_s"), i)
-    between = [s_ for s_ in range(1, inner)]
-
-    def anchor(x, i):
-        middle = F.least(*[s(i + k) for k in between]) if len(between) > 1 else s(i + between[0])
-        closed = F.least(x, s(i + inner)) <= middle
-        whole = F.get(F.col("_h"), i + K - 1).isNotNull()
-        own = F.xxhash64(*[x if k == 0 else s(i + k) for k in range(0, inner + 1, S)]).bitwiseAND(HASH_MASK)
-        return F.when(whole & closed, F.shiftleft(i.cast("long"), PLACE_SHIFT).bitwiseOR(own))
-
-    step = step.withColumn("_a", F.array_compact(F.transform("_s", anchor)))
-    alone = F.array(F.xxhash64("_tok").bitwiseAND(HASH_MASK))
-    found = F.when(F.size("_tok") == 0, F.array().cast("array<bigint>")).when(F.size("_a") == 0, alone).otherwise(F.col("_a"))
-    return step.select(*kept, found.alias(out))
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    own, found = fresh(df, "t", "a")
+    # blocks overlap by what a window reaches beyond its first character; a rest shorter than a window begins none
+    cut = F.regexp_extract_all(F.col(own), F.lit(rf"(?s)(?=(.{{{K},{BLOCK + K - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    blocks = F.when(F.char_length(own) < BLOCK + K, F.array(own)).otherwise(cut)
+    step = df.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    step = step.withColumn(found, F.flatten(F.transform(blocks, lambda b, j: _anchors(b, j.cast("long") * BLOCK))))
+    none, alone = F.array().cast("array<bigint>"), F.array(F.xxhash64(own).bitwiseAND(HASH_MASK))
+    return step.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col(own) == "", none).when(F.size(found) == 0, alone).otherwise(F.col(found)).alias(out))
 
 
 def hashes(a: Column) -> Column:
@@ -56,9 +79,20 @@ def places(a: Column) -> Column:
     return F.transform(a, lambda x: F.shiftright(x, PLACE_SHIFT).cast("int"))
 
 
+def links(a: Column) -> Column:
+    """For each anchor a hash of its own hash, that of the next anchor and the distance to it; the last anchor stands alone."""
+
+    def link(x, i):
+        after = F.get(a, i + 1)
+        return F.xxhash64(x.bitwiseAND(HASH_MASK), after.bitwiseAND(HASH_MASK), F.shiftright(after, PLACE_SHIFT) - F.shiftright(x, PLACE_SHIFT))
+
+    return F.transform(a, link)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard index of the sets of all hashes of both fingerprints."""
-    shared, every = F.size(F.array_intersect(hashes(a), hashes(b))), F.size(F.array_union(hashes(a), hashes(b)))
+    """The Jaccard index of the sets of all links of two arrays of ``links``."""
+    shared = F.size(F.array_intersect(a, b))
+    every = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - shared
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / every)
 
 
@@ -67,48 +101,76 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """df with next_<c> for each of ``columns``: the value of the row that follows by key (then text); after the last, of the first.
+def _borders(df: DataFrame, key: str, ranges: int | None) -> list:
+    """Values that part the rows into ranges of about even size, in order; they have no say in results.
 
-    Rows are dealt into ranges of keys. Within a range a window looks one row ahead; the first row of each range, at
-    most ``buckets`` rows in all, serves the last row of the range before.
+    Numbers: quantiles of all rows. Other types: quantiles of a bounded sample of ids.
+    """
+    n = df.count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(2, min(MOST_RANGES, max(4 * parts, n // ROWS_A_RANGE)))
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        got = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges))).first()[0] or []
+    else:
+        share = min(1.0, SAMPLED_IDS / max(1, n))
+        ids = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(share, seed=1).limit(2 * SAMPLED_IDS).collect())
+        got = [ids[len(ids) * k // ranges] for k in range(1, ranges)] if ids else []
+    return sorted(set(got))
+
+
+def _range(df: DataFrame, key: str, borders: list) -> Column:
+    """The number of borders below a row's key: first among every 256th, then among those that follow; 0 for a null key."""
+    if not borders:
+        return F.lit(0)
+    kind, step = df.schema[key].dataType.simpleString(), 256
+    array = lambda b: F.array(*[F.lit(x) for x in b]).cast(f"array<{kind}>")
+    less = lambda b: b < F.col(key)
+    coarse = F.size(F.filter(array(borders[step - 1 :: step]), less)) * step if len(borders) > step else F.lit(0)
+    fine = F.slice(array(borders), coarse + 1, F.lit(step)) if len(borders) > step else array(borders)
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(coarse + F.size(F.filter(fine, less)))
+
+
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None, also=None) -> DataFrame:
+    """df with next_<text>: the text of the row that follows by key, then text; after the last, that of the first.
+
+    Rows are dealt into ranges of keys, as many as the table asks for. Within a range a window looks one row ahead; the
+    first row of each range serves the last row of the range before. ``also(df, text, out)``, if given, derives a column
+    of each row from its text (a fingerprint, say) once it is dealt; next_<out> is then that of the row that follows,
+    looked up by the same window, so that it is computed once a row and never shuffled. Result: next_text, out, next_out.
     """
-    spark = df.sparkSession
-    buckets = buckets or min(1024, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)))
-    at = [k / buckets for k in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx("_key", at, 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    df = df.withColumn("_bucket", F.size(F.filter(edges, lambda b: b < F.col("_key"))))
-    firsts = {r[0]: r[1] for r in df.groupBy("_bucket").agg(F.min("_key")).collect()}  # one row a range
-    order = sorted(firsts)
-    follow = [(b, order[(i + 1) % len(order)], firsts[order[(i + 1) % len(order)]]) for i, b in enumerate(order)]
-    links = spark.createDataFrame(follow, "_of int, _in int, _first bigint")
-    head = df.join(F.broadcast(links), (F.col("_bucket") == F.col("_in")) & (F.col("_key") == F.col("_first")))
-    # rows that share a range's first key: the one with the first text, nulls before others
-    head = head.withColumn("_k", F.row_number().over(W.partitionBy("_of").orderBy(F.col(text).asc_nulls_first()))).where("_k = 1")
-    head = head.select("_of", *[F.col(c).alias(f"_head_{c}") for c in columns], F.lit(True).alias("_has"))
-    own = W.partitionBy("_bucket").orderBy("_key", F.col(text).asc_nulls_first())
-    ahead = df.withColumns({f"next_{c}": F.lead(c).over(own) for c in columns} | {"_more": F.lead(F.lit(True)).over(own)})
-    joined = ahead.join(head, F.col("_bucket") == F.col("_of"), "left")
-    picked = {f"next_{c}": F.when(F.col("_more"), F.col(f"next_{c}")).otherwise(F.col(f"_head_{c}")) for c in columns}
-    return joined.withColumns(picked).drop("_key", "_bucket", "_of", "_has", "_more", *[f"_head_{c}" for c in columns])
+    df = columns_clear(df, f"next_{text}", "out", "next_out") if also else columns_clear(df, f"next_{text}")
+    at, more, of, head, after = fresh(df, "range", "more", "of", "head", "after")
+    df = df.withColumn(at, _range(df, key, _borders(df, key, ranges)))
+    # a row a range: its first row, and that of the next range that has rows
+    heads = df.groupBy(at).agg(F.min(F.struct(F.col(key), F.col(text))).alias(head))
+    every = W.orderBy(at).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    heads = heads.select(F.col(at).alias(of), F.coalesce(F.lead(head).over(W.orderBy(at)), F.first(head).over(every))[text].alias(after))
+    own = W.partitionBy(at).orderBy(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    ahead = df.withColumns({f"next_{text}": F.lead(text).over(own), more: F.lead(F.lit(True)).over(own)})
+    if also:
+        ahead = also(ahead, text, "out").withColumn("next_out", F.lead("out").over(own))
+        heads = also(heads, after, "out").withColumnRenamed("out", head)
+    joined = ahead.join(heads, F.col(at) == F.col(of), "left")
+    picked = {f"next_{text}": F.when(F.col(more), F.col(f"next_{text}")).otherwise(F.col(after))}
+    if also:
+        picked["next_out"] = F.when(F.col(more), F.col("next_out")).otherwise(F.col(head))
+    return joined.withColumns(picked).drop(at, more, of, after, head)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # only texts are shuffled; all fingerprints are made after it
-    docs = with_next(docs, ["text"])
-    docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_q", F.floor(F.col("n_chars") / 4).cast("int"))
-    docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("_q")), F.substring(F.col("next_text"), F.lit(1), F.col("_q"))))
-    for text, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
-        docs = with_fingerprint(docs, text, out)
+    # only texts are shuffled; a text's fingerprint is made once, after it
+    docs = with_next(docs, also=with_fingerprint)
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
+    docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("q")), F.substring(F.col("next_text"), F.lit(1), F.col("q"))))
+    docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_out")
+    docs = docs.withColumns({f"links_{c}": links(F.col(c)) for c in ("out", "next_out", "edited_out")})
     return docs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        as_text(F.col("out")).alias("fingerprint"),
+        as_text(F.col("edited_out")).alias("edited_fingerprint"),
+        likeness(F.col("links_out"), F.col("links_edited_out")).alias("near_edited"),
+        likeness(F.col("links_out"), F.col("links_next_out")).alias("near_next"),
     )

@@ -1,13 +1,16 @@
 """Quality rules, secret scans, fingerprints and sharding against plain Python."""
 
+import bisect
 import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rangegrid.llm import fingerprints, quality, secrets, shards
@@ -101,56 +104,119 @@ def next_by_hand(docs):
     return {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
 
 
-@pytest.mark.parametrize("sf", [SMALL, "/root/testdata/sf0.01"])
-def test_fingerprints(spark, sf):
-    docs = [(r.doc_id, r.text or "") for r in docs_of(spark, sf).collect()]
-    follow = next_by_hand(docs)
-    want = []
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def hash_of(*longs):
+    h = 42
+    for x in longs:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
+    return signed(h)
+
+
+def fingerprint_by_hand(text, k=20, s=5):
+    """[(place, hash)] of the windows whose least inner string is the first or the last."""
+    inner = [signed(xxhash.xxh64_intdigest(text[i : i + s].encode(), seed=42)) for i in range(len(text) - s + 1)]
+    out = []
+    for i in range(len(text) - k + 1):
+        own = inner[i : i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            out.append((i, hash_of(own[0], own[5], own[10], own[15]) & 0x7FFFFFFF))
+    return out or ([(0, signed(xxhash.xxh64_intdigest(text.encode(), seed=42)) & 0x7FFFFFFF)] if text else [])
+
+
+def likeness_by_hand(a, b):
+    def links(x):
+        return {(h, x[i + 1][1], x[i + 1][0] - p) if i + 1 < len(x) else (h, None, None) for i, (p, h) in enumerate(x)}
+
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    return len(links(a) & links(b)) / len(links(a) | links(b))
+
+
+def fingerprints_by_hand(docs):
+    """All columns of the query for rows (doc_id, text)."""
+    docs = [(d, t or "") for d, t in docs]
+    follow, out = next_by_hand(docs), []
+    digits = lambda f: "".join(f"{p:08x}{h:08x}" for p, h in f)
     for i, (doc, text) in enumerate(docs):
-        q = len(text) // 4
-        want.append((doc, len(text), hashlib.sha256((text[: len(text) - q] + docs[follow[i]][1][:q]).encode()).hexdigest()))
-    got = fingerprints.query(spark, sf).collect()
-    key = lambda x: (x[0] is None, x)
-    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=key) == sorted(want, key=key)
-    long = [r for r in got if r.n_chars > 400]
-    assert sum(r.near_edited > 0.4 for r in long) > 0.95 * len(long) and sum(r.near_edited > r.near_next for r in long) > 0.85 * len(long)
-    by_hash = {}
-    for r in fingerprints.with_fingerprint(docs_of(spark, sf), "text", "fp").collect():
-        assert by_hash.setdefault(r.text, r.fp) == r.fp
-
-
-def test_fingerprint_edges(spark):
+        q, after = len(text) // 4, docs[follow[i]][1]
+        edited = text[: len(text) - q] + after[:q]
+        own, changed = fingerprint_by_hand(text), fingerprint_by_hand(edited)
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(changed), likeness_by_hand(own, changed), likeness_by_hand(own, fingerprint_by_hand(after))))
+    return out
+
+
+def test_fingerprints(spark):
+    docs = [(r.doc_id, r.text) for r in docs_of(spark).collect()]
+    got = fingerprints.query(spark, SMALL)
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(fingerprints_by_hand(docs))
+    long = [r for r in rows if r[1] > 400]
+    assert sum(r[5] > 0.4 for r in long) > 0.95 * len(long)
+
+
+def test_fingerprints_of_odd_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 64)
+    rows = [(r.doc_id, r.text) for r in odd_documents(spark).collect()]
+    rows += [(20 + k, "word 日本語😀 " * 40 + "x" * k) for k in range(9)] + [(30, "a" * 50), (31, "b" * 19), (32, "b" * 20), (33, "ab" * 41), (34, "é\n" * 42 + "z")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted([tuple(r) for r in fingerprints.query(spark, str(tmp_path)).collect()], key=key) == sorted(fingerprints_by_hand(rows), key=key)
+
+
+def test_next_of_any_id(spark):
     docs = odd_documents(spark)
-    got = fingerprints.with_fingerprint(docs, "text", "edited").collect()
-    assert all((len(r.edited) > 0) == bool(words(r.text)) for r in got)
-    nexts = fingerprints.with_next(docs.select("doc_id", "text"), ["text"], buckets=3).collect()
-    rows = [(r.doc_id, r.text) for r in nexts]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1] is not None, rows[i][1] or ""))
-    for k, i in enumerate(order):
-        assert nexts[i].next_text == rows[order[(k + 1) % len(order)]][1]
-    one = fingerprints.with_next(docs.select("doc_id", "text").where("doc_id = 5"), ["text"]).first()
+    for df, ranges in ((docs, 3), (docs.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"))), 4), (docs.withColumn("doc_id", F.col("doc_id").cast("string")), None)):
+        clash = df.selectExpr("doc_id", "text", "1 as _range", "2 as _more", "3 as _head", "4 as of", "5 as _of", "6 as _after", "7 as _t", "8 as _a")
+        nexts = fingerprints.with_next(clash, ranges=ranges).collect()
+        assert all(tuple(r)[2:10] == (1, 2, 3, 4, 5, 6, 7, 8) for r in nexts)
+        rows = [(r.doc_id, r.text) for r in nexts]
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or ("" if rows[i][0] is None else 0), rows[i][1] is not None, rows[i][1] or ""))
+        for k, i in enumerate(order):
+            assert nexts[i].next_text == rows[order[(k + 1) % len(order)]][1]
+        made = fingerprints.with_fingerprint(clash, "text", "fp").collect()
+        assert all(tuple(r)[2:10] == (1, 2, 3, 4, 5, 6, 7, 8) for r in made) and len(made) == len(rows)
+    one = fingerprints.with_next(docs.select("doc_id", "text").where("doc_id = 5")).first()
     assert one.next_text == one.text
-    assert fingerprints.with_next(docs.select("doc_id", "text").limit(0), ["text"]).count() == 0
+    assert fingerprints.with_next(docs.select("doc_id", "text").limit(0)).count() == 0
 
 
-def test_fingerprints_are_whole(spark):
+def test_many_ranges(spark):
+    borders = list(range(0, 7000, 7))
+    df = spark.range(-5, 7100, 13).withColumnRenamed("id", "key")
+    for r in df.withColumn("at", fingerprints._range(df, "key", borders)).collect():
+        assert r["at"] == bisect.bisect_left(borders, r.key)
+
+
+def test_fingerprints_are_whole_and_context_free(spark):
     own = [" ".join(f"{side}{k * 7919 % 100_003}" for k in range(20_000)) for side in "ab"]
     passage = " ".join(f"c{k}" for k in range(200))
-    rows = [(own[0], own[1] + " " + passage, 0), (own[0] + " " + passage, own[1][:50_000] + " " + passage + " " + own[1][50_000:], 1)]
-    df = spark.createDataFrame(rows, "a string, b string, shares int")
+    chinese = "".join(chr(0x4E00 + k * 7919 % 20_000) for k in range(4000))
+    rows = [
+        ("apart", own[0], own[1] + " " + passage),
+        ("share", own[0] + " " + passage, own[1][:50_000] + " " + passage + " " + own[1][50_000:]),
+        ("first", chinese, "新" + chinese), ("amid", chinese, chinese[:400] + "新" + chinese[400:]),
+        ("swapped", own[0][:20_000] + own[1][:20_000], own[1][:20_000] + own[0][:20_000]), ("order", "".join(own[0][k : k + 10] for k in range(0, 9000, 10)), "".join(own[0][k : k + 10] for k in range(8990, -1, -10))),
+    ]
+    df = spark.createDataFrame(rows, "kind string, a string, b string")
     df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "x"), "b", "y")
-    got = df.select("shares", fingerprints.likeness(F.col("x"), F.col("y")).alias("near"), *[f(F.col(c)).alias(n + c) for c in "xy" for f, n in ((fingerprints.hashes, "h"), (fingerprints.places, "p"))]).collect()
-    for r in got:
-        x, y = set(r.hx), set(r.hy)
-        assert r.near == len(x & y) / len(x | y) and len(r.hx) > 12_000 and len(r.hy) > 12_000
-        assert r.px == sorted(set(r.px)) and r.py == sorted(set(r.py))
-        if not r.shares:
-            continue
-        assert r.near > 0
-        # the passage lies at one distance in both texts
-        at = {h: p for h, p in zip(r.hx, r.px, strict=True) if p >= 20_003}
-        apart = Counter(p - at[h] for h, p in zip(r.hy, r.py, strict=True) if h in at)
-        assert apart.most_common(1)[0][1] > 100
+    near = fingerprints.likeness(fingerprints.links(F.col("x")), fingerprints.links(F.col("y")))
+    got = {r.kind: r for r in df.select("kind", near.alias("near"), *[f(F.col(c)).alias(n + c) for c in "xy" for f, n in ((fingerprints.hashes, "h"), (fingerprints.places, "p"))]).collect()}
+    for kind, a, b in rows:
+        r = got[kind]
+        x, y = fingerprint_by_hand(a), fingerprint_by_hand(b)
+        assert list(zip(r.px, r.hx, strict=True)) == x and list(zip(r.py, r.hy, strict=True)) == y
+        assert r.near == likeness_by_hand(x, y)
+    assert len(got["share"].hx) > 10_000 and got["share"].near > 0 and got["apart"].near < 0.001
+    assert got["first"].near > 0.95 and got["amid"].near > 0.95 and got["swapped"].near > 0.9 and got["order"].near < 0.05
+    # the passage lies at one distance in both texts
+    at = {h: p for h, p in zip(got["share"].hx, got["share"].px, strict=True) if p >= len(own[0])}
+    apart = Counter(p - at[h] for h, p in zip(got["share"].hy, got["share"].py, strict=True) if h in at)
+    assert apart.most_common(1)[0][1] > 50
 
 
 def test_shards(spark):

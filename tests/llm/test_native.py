@@ -7,6 +7,7 @@ import random
 import re
 import struct
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -219,26 +220,56 @@ def test_fingerprints_are_whole_and_context_free(spark):
     assert apart.most_common(1)[0][1] > 50
 
 
-def test_shards(spark):
-    store = shards.Store(spark, new_path(spark, "store"), target=400_000, fan_in=3)
+def test_shards(spark, tmp_path, monkeypatch):
+    # a store outside the shared folder; two merged files a job
+    monkeypatch.setattr(shards, "GROUPS_A_JOB", 2)
+    store = shards.Store(spark, f"file://{tmp_path}/store", target=400_000, fan_in=3)
     docs = odd_documents(spark).unionByName(odd_documents(spark))
-    all_rows = []
+    all_rows, then = [], {}
     for k in range(5):
         store.append(docs.repartition(2), rows_a_shard=3)
         all_rows += docs.collect()
+        then[store.version()] = len(all_rows)
         before = len(store.manifest()["files"])
         store.compact()
         now = store.manifest()
+        then[now["version"]] = len(all_rows)
         assert len(now["files"]) <= before and not store.groups(now["files"])
         assert sorted(map(str, store.read().collect())) == sorted(map(str, all_rows))
     assert all(size <= store.target * 1.5 for _, size in now["files"])
-    with pytest.raises(RuntimeError):
-        store.commit(now["version"] - 1, now["schema"], [])
+    # every version can be read, until it expires
+    assert set(then) <= set(store.versions()) and {v: store.read(v).count() for v in then} == then
+    early = store.read(min(then))
+    assert store.expire(now["version"]) > 0 and store.versions() == [now["version"]] and store.expire(10**6) == 0
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, all_rows))
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        early.collect()
     empty = shards.Store(spark, new_path(spark, "store"))
     empty.append(docs.limit(0))
     assert empty.compact() == 1 and empty.read().count() == 0 and empty.read().columns == docs.columns
 
 
+def test_two_writers(spark, tmp_path):
+    one, two = (shards.Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    docs = odd_documents(spark)
+    one.append(docs)
+    now = two.manifest()
+    one.append(docs)
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit(now["version"], now["schema"], [])
+    assert one.read().count() == 2 * docs.count() and one.versions() == [1, 2]
+    # of commits at the same moment one succeeds, by either way of publishing
+    for link in (True, False):
+        names = []
+        for k in range(8):
+            (tmp_path / f"t{link}{k}").write_text(str(k))
+            names.append(f"file://{tmp_path}/t{link}{k}")
+        with ThreadPoolExecutor(8) as pool:
+            done = list(pool.map(lambda n: one._publish(n, f"file://{tmp_path}/final{link}", link), names)) if link else [one._publish(n, f"file://{tmp_path}/final{link}", link) for n in names]
+        assert sum(done) == 1 and (tmp_path / f"final{link}").read_text() == str(done.index(True))
+        assert not list(tmp_path.glob(f"t{link}*"))
+
+
 def test_quality_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rangegrid.functions.names import fresh
+
 RESOLUTION, TILE = 1024, 256
 
 
@@ -34,8 +36,8 @@ class GridParams:
 
 
 def with_bin(encoded: DataFrame, p: GridParams, tile: int = TILE) -> DataFrame:
-    """encoded with bx, by, tx, ty and bin = bx + by * resolution."""
-    cells = encoded.withColumns({"bx": p.cell(F.col("x")), "by": p.cell(F.col("y"))})
+    """encoded with bx, by, tx, ty and bin = bx + by * resolution; without a column y the grid has one row."""
+    cells = encoded.withColumns({"bx": p.cell(F.col("x")), "by": p.cell(F.col("y")) if "y" in encoded.columns else F.lit(0).cast("long")})
     return cells.withColumns({"bin": F.col("bx") + F.col("by") * p.resolution, "tx": F.expr(f"cast(bx div {tile} as int)"), "ty": F.expr(f"cast(by div {tile} as int)")})
 
 
@@ -56,11 +58,12 @@ def max_count(hist: DataFrame) -> DataFrame:
 
 def prefix_sum(df: DataFrame, key: str, value: str, out: str = "st", block: int = 4096) -> DataFrame:
     """df with the sum of value over all smaller keys: sums within blocks of keys, plus what the blocks before hold."""
-    blocked = df.withColumn("_blk", F.floor(F.col(key) / block).cast("long"))
-    totals = blocked.groupBy("_blk").agg(F.sum(value).alias("_t"))
-    before = totals.select("_blk", F.coalesce(F.sum("_t").over(W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    own = F.coalesce(F.sum(value).over(W.partitionBy("_blk").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return blocked.withColumn("_own", own).join(before, "_blk").withColumn(out, (F.col("_own") + F.col("_off")).cast("long")).drop("_blk", "_own", "_off")
+    blk, total, mine, off = fresh(df, "blk", "t", "own", "off")
+    blocked = df.withColumn(blk, F.floor(F.col(key) / block).cast("long"))
+    totals = blocked.groupBy(blk).agg(F.sum(value).alias(total))
+    before = totals.select(blk, F.coalesce(F.sum(total).over(W.orderBy(blk).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(off))
+    own = F.coalesce(F.sum(value).over(W.partitionBy(blk).orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return blocked.withColumn(mine, own).join(before, blk).withColumn(out, (F.col(mine) + F.col(off)).cast("long")).drop(blk, mine, off)
 
 
 def directory(hist: DataFrame) -> DataFrame:

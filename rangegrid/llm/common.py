@@ -73,18 +73,6 @@ def columns_clear(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like these that no column of df has, for columns that an operator drops again."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        n = f"_{n}"
-        while n in taken:
-            n = f"_{n}"
-        taken.add(n)
-        out.append(n)
-    return out
-
-
 def word_count(text):
     """Words of a text as long; null counts 0."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long"), F.lit(0).cast("long"))

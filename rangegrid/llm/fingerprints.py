@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangegrid.llm.common import columns_clear, fresh
+from rangegrid.functions.names import constant_array, fresh
+from rangegrid.llm.common import columns_clear
 
 #: Characters of a window and of its inner strings: 16 inner strings, whose least one is found by twice four.
 K, S = 20, 5
@@ -46,10 +47,11 @@ def _anchors(text: Column, at: Column) -> Column:
 
     def of(s: Column, fours: Column) -> Column:
         def anchor(x, i):
-            least = F.least(F.get(fours, i), *[F.get(fours, i + k) for k in (4, 8, inner - 3)])
-            last = F.get(s, i + inner)
+            last, four = F.get(s, i + inner), lambda k: F.get(fours, i + k)
+            first_is_least = (x == four(0)) & (x <= four(4)) & (x <= four(8)) & (x <= four(inner - 3))
+            last_is_least = (last == four(inner - 3)) & (last <= four(8)) & (last <= four(4)) & (last <= four(0))
             own = F.xxhash64(x, *[F.get(s, i + k) for k in range(S, inner + 1, S)]).bitwiseAND(HASH_MASK)
-            return F.when(last.isNotNull() & ((x == least) | (last == least)), F.shiftleft(at + i, PLACE_SHIFT).bitwiseOR(own))
+            return F.when((first_is_least | last_is_least) & last.isNotNull(), F.shiftleft(at + i, PLACE_SHIFT).bitwiseOR(own))
 
         return F.array_compact(F.transform(s, anchor))
 
@@ -58,17 +60,44 @@ def _anchors(text: Column, at: Column) -> Column:
     return _let(hashed, lambda s: _let(fours(s), lambda m: of(s, m)))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the fingerprint of ``text`` in column ``out``: all anchors by place, repeated ones included, as an array of bigint."""
-    kept = [c for c in df.columns if c.lower() != out.lower()]
-    own, found = fresh(df, "t", "a")
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the anchors of ``text`` in column ``out``: all by place, repeated ones included, as an array of bigint."""
+    kept, (own,) = [c for c in df.columns if c.lower() != out.lower()], fresh(df, "t")
     # blocks overlap by what a window reaches beyond its first character; a rest shorter than a window begins none
     cut = F.regexp_extract_all(F.col(own), F.lit(rf"(?s)(?=(.{{{K},{BLOCK + K - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
     blocks = F.when(F.char_length(own) < BLOCK + K, F.array(own)).otherwise(cut)
-    step = df.withColumn(own, F.coalesce(F.col(text), F.lit("")))
-    step = step.withColumn(found, F.flatten(F.transform(blocks, lambda b, j: _anchors(b, j.cast("long") * BLOCK))))
-    none, alone = F.array().cast("array<bigint>"), F.array(F.xxhash64(own).bitwiseAND(HASH_MASK))
-    return step.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col(own) == "", none).when(F.size(found) == 0, alone).otherwise(F.col(found)).alias(out))
+    found = F.flatten(F.transform(blocks, lambda b, j: _anchors(b, j.cast("long") * BLOCK)))
+    return df.withColumn(own, F.coalesce(F.col(text), F.lit(""))).select(*[F.col(f"`{c}`") for c in kept], found.alias(out))
+
+
+def marked(anchors: Column, text: Column) -> Column:
+    """The fingerprint of a text with these anchors: a text without any is marked by its own hash."""
+    none, alone = F.array().cast("array<bigint>"), F.array(F.xxhash64(text).bitwiseAND(HASH_MASK))
+    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.size(anchors) == 0, alone).otherwise(anchors)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the fingerprint of ``text`` in column ``out``."""
+    (found,) = fresh(df, "a")
+    step = with_anchors(df, text, found)
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    return step.select(*kept, marked(F.col(found), F.col(text)).alias(out))
+
+
+def with_spliced(df: DataFrame, joined: str, a: str, n_a: str, b: str, n_b: str, out: str) -> DataFrame:
+    """df with the anchors of ``joined``, which is the first n_a characters of one text and the first n_b of another.
+
+    a and b are the anchors of both whole texts. An anchor looks at nothing outside its window, so that only windows
+    across the seam are looked at anew.
+    """
+    seam, begin, fresh_ones = fresh(df, "seam", "begin", "new")
+    step = df.withColumn(begin, F.greatest(F.lit(0), F.col(n_a) - (K - 1)).cast("int"))
+    step = step.withColumn(seam, F.substring(F.col(joined), F.col(begin) + 1, (F.col(n_a) - F.col(begin) + F.least(F.lit(K - 1), F.col(n_b))).cast("int")))
+    step = with_anchors(step, seam, fresh_ones)
+    place = lambda x: F.shiftright(x, PLACE_SHIFT)
+    moved = lambda found, by: F.transform(found, lambda x: x + F.shiftleft(F.col(by).cast("long"), PLACE_SHIFT))
+    parts = [F.filter(a, lambda x: place(x) <= F.col(n_a) - K), moved(F.col(fresh_ones), begin), moved(F.filter(b, lambda x: place(x) <= F.col(n_b) - K), n_a)]
+    return step.withColumn(out, F.flatten(F.array(*parts))).drop(seam, begin, fresh_ones)
 
 
 def hashes(a: Column) -> Column:
@@ -123,7 +152,7 @@ def _range(df: DataFrame, key: str, borders: list) -> Column:
     if not borders:
         return F.lit(0)
     kind, step = df.schema[key].dataType.simpleString(), 256
-    array = lambda b: F.array(*[F.lit(x) for x in b]).cast(f"array<{kind}>")
+    array = lambda b: constant_array(b, kind)
     less = lambda b: b < F.col(key)
     coarse = F.size(F.filter(array(borders[step - 1 :: step]), less)) * step if len(borders) > step else F.lit(0)
     fine = F.slice(array(borders), coarse + 1, F.lit(step)) if len(borders) > step else array(borders)
@@ -159,11 +188,13 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: in
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # only texts are shuffled; a text's fingerprint is made once, after it
-    docs = with_next(docs, also=with_fingerprint)
+    # only texts are shuffled; a text's anchors are found once, after it
+    docs = with_next(docs, also=with_anchors)
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
-    docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("q")), F.substring(F.col("next_text"), F.lit(1), F.col("q"))))
-    docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_out")
+    docs = docs.withColumns({"n_a": F.col("n_chars").cast("int") - F.col("q"), "n_b": F.least(F.col("q"), F.char_length("next_text"))})
+    docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_a")), F.substring(F.col("next_text"), F.lit(1), F.col("n_b"))))
+    docs = with_spliced(docs, "edited", "out", "n_a", "next_out", "n_b", "edited_out")
+    docs = docs.withColumns({x: marked(F.col(x), F.col(text)) for x, text in (("out", "text"), ("next_out", "next_text"), ("edited_out", "edited"))})
     docs = docs.withColumns({f"links_{c}": links(F.col(c)) for c in ("out", "next_out", "edited_out")})
     return docs.select(
         "doc_id",

@@ -52,9 +52,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, offsets) of a string column; nulls are empty."""
-    col = pc.fill_null(col, "")
-    col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
+    """(all bytes, offsets) of a string or binary column; nulls are empty."""
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     _, offsets, data = col.buffers()
     at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)

@@ -6,21 +6,24 @@ context of at most 2 * least - ANCHOR bytes. Only contexts whose anchor occurs a
 are counted and kept once, and those that share an anchor meet in one task. There they are concatenated, an enhanced
 suffix array (order, common prefixes) is built, and a stack scan over it yields the tree of common-prefix intervals.
 Intervals whose occurrences differ in the byte to the left are the maximal repeats; each covers all its occurrences.
+Where one anchor has too many contexts for a task, these are compared window by window, dealt by the windows' hashes.
 
 Defined results: nulls and empty texts have no byte; matches never cross documents; overlapping repeats count; equal
 texts, and rows that repeat id and text, cover each other; documents that share an id are told apart by their text; an
-empty table gives an empty table; other columns are not carried; texts of any length are read in overlapping blocks.
+empty table gives an empty table; other columns are not carried, whatever their names; texts of any length are read whole,
+in overlapping blocks of 1 MB: besides the text itself a task holds its anchors, one for 80 bytes or so.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain, groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangegrid.llm.common import text_batches, written
@@ -229,11 +232,21 @@ def _find(least: int, anchor: int):
         for b in text_batches(batches, limit=BLOCK):
             ids = [np.asarray(b.column(b.schema.get_field_index(c))) for c in ("r1", "r2")]
             raw, offsets = text_bytes(b.column(b.schema.get_field_index("text")))
+            found = []
             for d, shift, part, begin in _blocks(raw, offsets, least):
                 at, h, lo, hi = _anchors(part, begin[:-1], least, anchor)
                 doc = np.searchsorted(begin, lo, "right") - 1
-                packed = ((at - begin[doc] + shift) << 32) | ((at - lo) << 16) | (hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[0][d + doc]), pa.array(ids[1][d + doc]), pa.array(h.view(np.int64)), pa.array(packed)], names=["r1", "r2", "hash", "packed"])
+                found.append((d + doc, at - begin[doc] + shift, h, lo - begin[doc] + shift, hi - begin[doc] + shift))
+            if not found:
+                continue
+            doc, at, h, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+            # an anchor whose windows go on in the next block is one
+            goes_on = np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & (lo[1:] == hi[:-1] + 1)]) if len(at) else np.zeros(0, bool)
+            first = np.flatnonzero(~goes_on)
+            last = np.concatenate([first[1:], [len(at)]]) - 1 if len(at) else first
+            doc, at, h, lo, hi = doc[first], at[first], h[first], lo[first], hi[last]
+            packed = (at << 32) | ((at - lo) << 16) | (hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0][doc]), pa.array(ids[1][doc]), pa.array(h.view(np.int64)), pa.array(packed)], names=["r1", "r2", "hash", "packed"])
 
     return run
 
@@ -259,7 +272,7 @@ HELD = 24 << 20
 def _contexts(least: int, with_text: bool):
     """Contexts of a document's anchors that occur again; c1 and c2 stand for a context's bytes and its anchor's place in it.
 
-    With text: (hash, c1, c2, n, text), copies within the task counted; else (r1, r2, hash, c1, c2, base), one row each.
+    With text: (hash, wide, c1, c2, n, text), copies within the task counted; else (doc_id, r1, r2, hash, c1, c2, base), one row each.
     """
 
     def run(batches):
@@ -267,7 +280,7 @@ def _contexts(least: int, with_text: bool):
 
         def out():
             keys = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([*[pa.array(k, pa.int64()) for k in keys], pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.binary())], names=["hash", "c1", "c2", "n", "text"])
+            return pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(keys, (pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.binary())], names=["hash", "wide", "c1", "c2", "n", "text"])
 
         for b in text_batches(batches, limit=BLOCK):
             get = lambda k, b=b: b.column(b.schema.get_field_index(k))
@@ -276,21 +289,22 @@ def _contexts(least: int, with_text: bool):
                 continue
             raw, offsets = text_bytes(get("text"))
             flat = get("marks").flatten()
-            h, packed = np.asarray(flat.field("hash")), np.asarray(flat.field("packed"))
+            h, packed, wide = np.asarray(flat.field("hash")), np.asarray(flat.field("packed")), flat.field("wide").to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(count)), count)
             order = np.lexsort((h, packed, doc))
-            doc, h, packed = doc[order], h[order], packed[order]
+            doc, h, packed, wide = doc[order], h[order], packed[order], wide[order]
             keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1])])  # rows alike have found each other's anchors
-            doc, h, packed = doc[keep], h[keep], packed[keep]
+            doc, h, packed, wide = doc[keep], h[keep], packed[keep], wide[keep]
             base = (packed >> 32) - (packed >> 16 & 0xFFFF)
             lo = offsets[doc] + base
             stop = lo + (packed & 0xFFFF) + least
             c1, c2 = _context_hashes(raw, lo, stop, mixed((packed & 0xFFFFFFFF).astype(_U)))
             if not with_text:
-                yield pa.RecordBatch.from_arrays([get("r1").take(pa.array(doc)), get("r2").take(pa.array(doc)), pa.array(h), pa.array(c1), pa.array(c2), pa.array(base)], names=["r1", "r2", "hash", "c1", "c2", "base"])
+                own = [get(c).take(pa.array(doc)) for c in ("doc_id", "r1", "r2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(c1), pa.array(c2), pa.array(base)], names=["doc_id", "r1", "r2", "hash", "c1", "c2", "base"])
                 continue
             blob = memoryview(raw)
-            for key, x, y in zip(zip(h.tolist(), c1.tolist(), c2.tolist(), strict=True), lo.tolist(), stop.tolist(), strict=True):
+            for key, x, y in zip(zip(h.tolist(), wide.tolist(), c1.tolist(), c2.tolist(), strict=True), lo.tolist(), stop.tolist(), strict=True):
                 if key in held:
                     held[key][0] += 1
                 else:
@@ -311,24 +325,48 @@ def _runs(cover: np.ndarray, begin: int, size: int) -> tuple[list[int], list[int
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _cover(least: int):
-    """(hash, c1, c2, starts, stops): covered runs of contexts, by an enhanced suffix array over those that share anchors.
+#: Rows that ``_scanned`` makes of a context: its covered runs; or its place in a group of repeats; or itself, left over.
+_SCANNED = {"hash": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "node": pa.int64(), "length": pa.int64(), "starts": pa.list_(pa.int32()), "stops": pa.list_(pa.int32()), "n": pa.int64(), "text": pa.binary()}
+_SCANNED_SCHEMA = "hash bigint, c1 bigint, c2 bigint, node bigint, length bigint, starts array<int>, stops array<int>, n bigint, text binary"
+
+
+def _covered(rows: list[list], least: int):
+    """Covered runs of contexts (hash, c1, c2, n, text) of some anchors."""
+    _, _, begin, cover = maximal_repeats([r[4] for r in rows], least, [r[3] for r in rows])
+    for k, r in enumerate(rows):
+        starts, stops = _runs(cover, int(begin[k]), len(r[4]))
+        if starts:
+            yield (*r[:3], None, None, starts, stops, None, None)
+
+
+def _grouped(rows: list[list], least: int):
+    """Groups of maximal repeats of contexts of some anchors, an occurrence a row; one that has copies is a group by itself."""
+    found, order, begin, _ = maximal_repeats([r[4] for r in rows], least)
+    whole = set()
+    for node, (length, a, z) in enumerate(found):
+        at = order[a : z + 1]
+        text = np.searchsorted(begin, at, "right") - 1
+        for t, x in zip(text.tolist(), (at - begin[text]).tolist(), strict=True):
+            if not x and length == len(rows[t][4]):
+                whole.add(t)
+            yield (*rows[t][:3], node, length, [x], [x + length], None, None)
+    for t, r in enumerate(rows):
+        if r[3] > 1 and t not in whole:
+            yield (*r[:3], len(found) + t, len(r[4]), [0], [len(r[4])], None, None)
 
-    Rows come in order of (hash, c1, c2); those of copies that different tasks counted are added up. A context that no
-    other shares the anchor with has nothing to be compared with: its tree is one leaf, and copies make it a repeat.
-    """
 
-    def scan(rows: list[list]):
-        _, _, begin, cover = maximal_repeats([r[4] for r in rows], least, [r[3] for r in rows])
-        for k, r in enumerate(rows):
-            starts, stops = _runs(cover, int(begin[k]), len(r[4]))
-            if starts:
-                yield (*r[:3], starts, stops)
+def _scanned(least: int, scan, most: int):
+    """Contexts by (hash, c1, c2) -> rows of _SCANNED, by an enhanced suffix array over those that share anchors.
+
+    Copies that different tasks counted are added up. A context that no other shares the anchor with has nothing to be
+    compared with: its tree is one leaf, and copies make it a repeat. Contexts of an anchor that has more than ``most``
+    distinct ones, or is wide, are passed on as they are, so that no more than these are ever held.
+    """
 
     def merged(batches):
         last = None
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("hash", "c1", "c2", "n", "text")), strict=True):
+            for row in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("hash", "c1", "c2", "n", "text", "wide")), strict=True):
                 if last and last[:3] == list(row[:3]):
                     last[3] += row[3]
                 else:
@@ -338,33 +376,49 @@ def _cover(least: int):
         if last:
             yield last
 
-    def run(batches):
-        rows, size, done = [], 0, []
-
-        def out():
-            cols = list(zip(*done, strict=True))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "c1", "c2", "starts", "stops"])
+    left_over = lambda r: (*r[:3], None, None, None, None, r[3], r[4])
 
+    def scanned(batches):
+        rows, size = [], 0
         for _, own in groupby(merged(batches), key=lambda r: r[0]):
-            first = next(own)
-            second = next(own, None)
-            if second is None:
-                done += [(*first[:3], [0], [len(first[4])])] if first[3] > 1 else []
+            held = list(islice(own, most + 1))
+            if len(held) > most or held[0][5]:
+                yield from map(left_over, held)
+                yield from map(left_over, own)
+            elif len(held) == 1:
+                if held[0][3] > 1:
+                    n = len(held[0][4])
+                    yield (*held[0][:3], 0, n, [0], [n], None, None)
             else:
-                for r in chain((first, second), own):
-                    rows.append(r)
-                    size += len(r[4]) + 1
-            if size > ARRAY:
-                done += scan(rows)
-                rows, size = [], 0
-            if len(done) > 10_000:
-                yield out()
-                done = []
+                if rows and (size > ARRAY or scan is _grouped):  # the nodes of a tree are numbered by anchor
+                    yield from scan(rows, least)
+                    rows, size = [], 0
+                rows += held
+                size += sum(len(r[4]) + 1 for r in held)
         if rows:
-            done += scan(rows)
-        if done:
-            yield out()
+            yield from scan(rows, least)
+
+    def run(batches):
+        done = scanned(batches)
+        while part := list(islice(done, 5_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), _SCANNED.values(), strict=True)], names=list(_SCANNED))
+
+    return run
+
+
+def _windows(least: int):
+    """Contexts left over -> (w1, w2, hash, c1, c2, at, n): hashes and places of all their windows."""
+    names = ["w1", "w2", "hash", "c1", "c2", "at", "n"]
+
+    def run(batches):
+        for b in text_batches(batches, limit=64 << 10):
+            get = lambda k, b=b: b.column(b.schema.get_field_index(k))
+            raw, offsets = text_bytes(get("text"))
+            count = np.maximum(0, np.diff(offsets) - least + 1)
+            row = np.repeat(np.arange(len(count)), count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            w = [_Hashes(raw, p).of(offsets[row] + at, offsets[row] + at + least).view(np.int64) for p in (_ONE, _TWO)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, w), *(get(c).take(pa.array(row)) for c in ("hash", "c1", "c2")), pa.array(at.astype(np.int32)), get("n").take(pa.array(row))], names=names)
 
     return run
 
@@ -399,25 +453,77 @@ def _cut():
     return run
 
 
-def dedup(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops): what repeats cover in each document, as runs of bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _prepared(docs: DataFrame, text: str, least: int, anchor: int, spread: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with row keys, dealt by them; the same with their marks: anchors that occur again)."""
     keyed = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     keyed = keyed.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.hash("text", "doc_id")})
     # the texts are dealt once: every later stage reads this exchange again
     dealt = keyed.repartition("r1", "r2")
     found = keyed.mapInArrow(_find(least, anchor), "r1 bigint, r2 int, hash bigint, packed bigint")
     # a table of its own, so that a join with an anchor that very many documents share can be split
-    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "anchors")
-    marks = found.join(again, "hash").groupBy("r1", "r2").agg(F.collect_set(F.struct("hash", "packed")).alias("marks"))
-    marked = dealt.join(marks.hint("shuffle_hash"), ["r1", "r2"], "left")
-    distinct = marked.mapInArrow(_contexts(least, True), "hash bigint, c1 bigint, c2 bigint, n bigint, text binary")
-    covered = distinct.repartition("hash").sortWithinPartitions("hash", "c1", "c2").mapInArrow(_cover(least), "hash bigint, c1 bigint, c2 bigint, starts array<int>, stops array<int>")
-    hits = marked.mapInArrow(_contexts(least, False), "r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, base bigint").join(covered, ["hash", "c1", "c2"])
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > spread).alias("wide")), "anchors")
+    # sets: rows that repeat id and text have one row key, and must not get the marks of all of them
+    marks = found.join(again, "hash").groupBy("r1", "r2").agg(F.collect_set(F.struct("hash", "packed", "wide")).alias("marks"))
+    return dealt, dealt.join(marks.hint("shuffle_hash"), ["r1", "r2"], "left")
+
+
+def _contexts_of(marked: DataFrame, least: int, scan, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scanned contexts, windows of those left over that occur again, places of all contexts)."""
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    distinct = marked.mapInArrow(_contexts(least, True), "hash bigint, wide boolean, c1 bigint, c2 bigint, n bigint, text binary")
+    # the contexts of an anchor meet, save those of a wide one, which are spread
+    scanned = distinct.repartition("hash", F.when(F.col("wide"), F.col("c1"))).sortWithinPartitions("hash", "c1", "c2").mapInArrow(_scanned(least, scan, most), _SCANNED_SCHEMA)
+    scanned = written(scanned, "contexts", 10_000)
+    windows = scanned.where("text is not null").mapInArrow(_windows(least), "w1 bigint, w2 bigint, hash bigint, c1 bigint, c2 bigint, at int, n bigint")
+    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    places = marked.mapInArrow(_contexts(least, False), f"doc_id {kind}, r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, base bigint")
+    return scanned.where("text is null"), windows.join(often, ["w1", "w2"]), places
+
+
+#: Distinct contexts of one anchor that meet in a task (360 bytes each at the usual lengths); anchors that occur more often
+#: than SPREAD are never gathered. Beyond either, windows are compared one by one, dealt by their hashes.
+MOST_CONTEXTS, SPREAD = 8_000, 200_000
+
+
+def dedup(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int = ANCHOR, most: int = MOST_CONTEXTS, spread: int = SPREAD) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops): what repeats cover in each document, as runs of bytes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt, marked = _prepared(docs, text, least, anchor, spread)
+    scanned, windows, places = _contexts_of(marked, least, _covered, most)
+    single = windows.groupBy("hash", "c1", "c2").agg(F.collect_set("at").alias("starts"))  # a context has at most so many windows as an anchor serves
+    covered = scanned.select("hash", "c1", "c2", "starts", "stops").unionByName(single.withColumn("stops", F.transform("starts", lambda x: x + least)))
+    hits = places.drop("doc_id").join(covered, ["hash", "c1", "c2"])
     runs = hits.select("r1", "r2", "base", F.explode(F.arrays_zip("starts", "stops")).alias("x")).select("r1", "r2", F.struct((F.col("base") + F.col("x.starts")).alias("s"), (F.col("base") + F.col("x.stops")).alias("e")).alias("x"))
     spans = runs.groupBy("r1", "r2").agg(F.collect_set("x").alias("spans"))
     return dealt.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, stops array<bigint>")
 
 
+def groups(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int = ANCHOR, most: int = MOST_CONTEXTS, spread: int = SPREAD) -> DataFrame:
+    """(group_id, length, doc_id, place): repeats of the corpus of ``least`` bytes or more, with every occurrence of each.
+
+    Trees give the maximal repeats of the contexts of an anchor; those of neighbouring contexts that occur at the same
+    places, moved alike, and touch, are one. So a string is given with exactly all places where it occurs, and can't be
+    extended among strings with the same occurrences; one whose parts occur at more places than the whole is given by these
+    parts, up to where the occurrences change. The spans of all groups cover what ``dedup`` removes. Of windows
+    that are compared one by one, those that stand side by side at the same places are joined in the same way.
+    """
+    _, marked = _prepared(docs, text, least, anchor, spread)
+    scanned, windows, places = _contexts_of(marked, least, _grouped, most)
+    own = scanned.select(F.xxhash64("hash", "node", "length").alias("g"), F.col("length"), "hash", "c1", "c2", F.col("starts")[0].alias("at"))
+    single = windows.select(F.xxhash64(F.lit("window"), "w1", "w2").alias("g"), F.lit(least).cast("long").alias("length"), "hash", "c1", "c2", "at")
+    found = written(own.unionByName(single).join(places, ["hash", "c1", "c2"]).select("g", "length", "doc_id", "r1", "r2", (F.col("base") + F.col("at")).alias("place")), "occurrences")
+    # sums over the occurrences that stay the same when all of them are moved by one distance
+    h = [F.pmod(F.xxhash64(F.lit(k), "r1", "r2"), F.lit(2**31 - 1)).cast("decimal(38,0)") for k in (1, 2)]
+    sums = [x for k in (0, 1) for x in (F.sum(h[k]).alias(f"a{k}"), F.sum(h[k] * F.col("place").cast("decimal(20,0)")).alias(f"b{k}"))]
+    heads = found.groupBy("g", "length").agg(F.count("*").alias("times"), F.min(F.struct("r1", "r2", "place")).alias("first"), *sums)
+    place = F.col("first.place")
+    heads = heads.select("g", "length", "times", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2"), place.alias("at"), "a0", "a1", *[(F.col(f"b{k}") - F.col(f"a{k}") * place).cast("decimal(38,0)").alias(f"s{k}") for k in (0, 1)])
+    alike = W.partitionBy("times", "r1", "r2", "a0", "a1", "s0", "s1").orderBy("at", F.desc("length"), "g")
+    reach = F.max(F.col("at") + F.col("length")).over(alike.rowsBetween(W.unboundedPreceding, -1))
+    chained = heads.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(alike))
+    whole = chained.groupBy("times", "r1", "r2", "a0", "a1", "s0", "s1", "island").agg(F.min_by("g", F.struct("at", -F.col("length"), "g")).alias("g"), (F.max(F.col("at") + F.col("length")) - F.min("at")).alias("whole"))
+    return found.join(whole.select("g", "whole"), "g").select(F.col("g").alias("group_id"), F.col("whole").alias("length"), "doc_id", "place")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

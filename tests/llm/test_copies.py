@@ -1,11 +1,15 @@
 """Repeats, near duplicates and the pipeline against brute force."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline  # noqa: F401
 from rangegrid.llm import near, packing, quality, repeats
@@ -35,18 +39,114 @@ def test_repeats(spark, make, least, anchor):
     assert repeats.dedup(docs.limit(0)).count() == 0
 
 
-def test_repeats_random(spark):
+def overlapping_texts():
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abé"), 4000))
     rows = []
     for k in range(60):
         a, n = int(rng.integers(0, 3000)), int(rng.integers(0, 900))
         rows.append((k % 50, base[a : a + n] + "".join(rng.choice(list("xyz"), 30)) + base[: int(rng.integers(0, 300))]))
+    return rows
+
+
+@pytest.mark.parametrize("most, spread", [(8000, 200_000), (3, 200_000), (8000, 4), (2, 1)])
+def test_repeats_random(spark, most, spread):
+    """Whether an anchor's contexts meet in a task, are left over by it, or are spread from the start, results are the same."""
+    rows = overlapping_texts()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = repeats.dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = repeats.dedup(df, most=most, spread=spread).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == repeats_by_hand(rows, 200)
 
 
+def places_of(texts, s):
+    out = set()
+    for d, b in texts.items():
+        at = b.find(s)
+        while at >= 0:
+            out.add((d, at))
+            at = b.find(s, at + 1)
+    return out
+
+
+def grouped(df, **how):
+    out = defaultdict(list)
+    for r in repeats.groups(df, **how).collect():
+        out[r.group_id, r.length].append((r.doc_id, r.place))
+    assert len({g for g, _ in out}) == len(out)
+    return {k[1:] + (tuple(sorted(v)),) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("most, spread", [(8000, 200_000), (3, 200_000), (2, 1)])
+def test_groups_have_all_occurrences_of_the_corpus(spark, most, spread):
+    rows = [(k, t) for k, (_, t) in enumerate(overlapping_texts())]
+    texts = {d: t.encode() for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = grouped(df, most=most, spread=spread)
+    cover = {d: bytearray(len(b)) for d, b in texts.items()}
+    for length, at in found:
+        assert length >= 200 and len(at) == len(set(at)) > 1
+        d, p = at[0]
+        assert set(at) == places_of(texts, texts[d][p : p + length])
+        for d, p in at:
+            cover[d][p : p + length] = b"\1" * length
+    assert {r.doc_id: r.n_removed for r in repeats.dedup(df).collect()} == {d: sum(c) for d, c in cover.items()}
+    assert repeats.groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most, spread", [(8000, 200_000), (2, 1)])
+def test_groups_of_passages_are_the_maximal_repeats(spark, most, spread):
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    prose = lambda n: "".join(rng.choice(letters, n))
+    passages = [prose(n) for n in (200, 203, 450, 2500, 9000)]
+    texts, want = defaultdict(str), defaultdict(set)
+    for k in range(40):
+        for _ in range(3):
+            p = int(rng.integers(0, 5))
+            edge = chr(33 + len(want[p]))  # no two occurrences have the same letter before or after
+            texts[k] += prose(int(rng.integers(5, 300))) + edge
+            want[p].add((k, len(texts[k])))
+            texts[k] += passages[p] + edge
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = grouped(df, most=most, spread=spread)
+    assert found == {(len(passages[p]), tuple(sorted(at))) for p, at in want.items()}
+
+
+def test_marks_follow_the_rows(spark):
+    counts = []
+    text = " ".join(f"w{k}" for k in range(2000))
+    for n in (20, 80):
+        df = spark.createDataFrame([(1, text)] * n, "doc_id bigint, text string")
+        _, marked = repeats._prepared(df, "text", 200, 40, 200_000)
+        counts.append(marked.selectExpr("sum(size(marks)) as n").first().n)
+        assert all(r.n_removed == r.n_bytes and r.n_spans == 1 for r in repeats.dedup(df).collect())
+    assert 0 < counts[1] == 4 * counts[0]
+
+
+def test_long_texts_need_bounded_memory():
+    """Texts of 50 MB: what a worker takes for anchors, contexts and shingles."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from rangegrid.llm import near, repeats
+text = " ".join(map(str, np.random.default_rng(1).integers(0, 10**9, 5_000_000).tolist()))
+text += text[:100_000]
+b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array([text])], names=["doc_id", "r1", "r2", "text"])
+at = [np.asarray(x.column(3)) for x in repeats._find(200, 40)([b])]
+assert len(at[0]) > len(text) / 200
+marks = pa.StructArray.from_arrays([pa.array(np.arange(len(at[0]))), pa.array(at[0]), pa.array(np.zeros(len(at[0]), bool))], names=["hash", "packed", "wide"])
+b = b.append_column("marks", pa.ListArray.from_arrays(pa.array([0, len(at[0])], pa.int32()), marks))
+assert sum(x.num_rows for x in repeats._contexts(200, False)([b])) == len(at[0])
+print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+s = near.shingles(b.column(3))
+assert len(s[0]) > 4_900_000
+print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert out.returncode == 0, out.stderr[-2000:]
+    (size, first), (_, second) = (map(int, x.split()) for x in out.stdout.splitlines())
+    assert size > 48_000_000 and first < 1000 and second < 1500
+
+
 def test_long_text_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     text = "".join(rng.choice(list("abcdefgh"), 9000))
@@ -145,6 +245,50 @@ def test_near_edges(spark):
     assert Counter(r.doc_id for r in kept.collect())[3] == 1
 
 
+def test_words_that_a_polynomial_confuses(spark):
+    """Two words of 4096 letters that every polynomial modulo 2 ** 64 with an odd base gives one hash."""
+    bits = [bin(k).count("1") & 1 for k in range(4096)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rest = " ".join(f"w{k}" for k in range(6))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in near.join(df).collect()}
+    assert all(r.n_copies == 1 and r.n_links == 0 and r.class_id == d for d, r in got.items())
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    import pyarrow as pa
+
+    text = "".join(f"w{k}" + " \t\n"[k % 3] * (k % 4) for k in range(3000)) + "é" * 90
+    whole = near.shingles(pa.array([text, None, text[5:]]))
+    monkeypatch.setattr(near, "WORD_BLOCK", 50)
+    for k in (0, 1, 2):
+        assert np.array_equal(near.shingles(pa.array([text, None, text[5:]]).slice(k, 1))[0], whole[k])
+
+
+def test_rows_are_kept_one_by_one(spark):
+    """Rows without an id, or with a shared one, are decided by themselves."""
+    prose = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, prose), (None, prose + " end"), (None, "another text that nothing else is like at all"), (None, None), (None, ""), (None, None), (7, "x " + prose), (7, "one more text that stands for itself alone here"), (7, "one more text that stands for itself alone here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as _r1", "2 as _row", "3 as r1", "map('a', 1) as m")
+    kept = near.keep_first(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(7, "x " + prose), rows[2], (None, None), (None, ""), rows[7]])
+    class_of = {r.text: r for r in near.join(df).join(df.select("doc_id", "text").distinct(), "doc_id").where("is_first").collect()}
+    assert class_of["x " + prose].class_id == 7
+
+
+def test_a_chain_of_chance_hits_makes_no_group(spark):
+    """Texts of which each shares half with the next hit common bands, but no two are likely enough to be compared further."""
+    rng = np.random.default_rng(12)
+    words_ = [f"w{k}" for k in rng.integers(0, 10**6, 12_000)]
+    rows = [(k, " ".join(words_[k * 40 : k * 40 + 120])) for k in range(290)]
+    df = near.with_row_key(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    classes = near.sketches(df).withColumn("node", F.col("doc_id"))
+    hits = classes.select("node", F.explode("bands").alias("band")).groupBy("band").count().where("count > 1").count()
+    assert hits > 20 and near.candidate_groups(classes).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(k, k + 1) for k in range(50)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (60, 2))] + [(300, k) for k in range(301, 400)]

@@ -5,8 +5,8 @@ the data (4). The data of one document are its ids as unsigned 32-bit little-end
 writer is told that the vocabulary allows it; the index says which. Files follow each other in ascending id order.
 
 Defined results: a null or empty text gives a record that holds the end id only; rows with equal ids are records of
-their own, in the order of their texts; a null id sorts first; an empty table gives no record; other columns of the
-input are not written.
+their own, in the order of a hash of their texts; a null id sorts first; an empty table gives no record; other columns of the
+input are not written, whatever their names; a text of any length is one record, tokenized whole by one task.
 """
 
 from __future__ import annotations
@@ -169,7 +169,9 @@ def write_records(docs: DataFrame, out: str, text: str = "text", path: str | Non
                 sink.close()
 
     schema = f"doc_id {kind}, file string, part int, place bigint, offset bigint, size bigint, n_tokens bigint, width int"
-    dealt = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a hash beside the id, so that rows that share an id can lie in more than one range
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     dealt.mapInArrow(write, schema).write.parquet(f"{out}/index")
     return spark.read.schema(schema).parquet(f"{out}/index")
 

@@ -2,7 +2,8 @@
 
 Defined results: a null or empty text has size 0 and takes nothing however often it is copied; a null source is a source
 of its own, the last one; a source without words has target 0; repeated rows are rows of their own and, having the same
-id, toss the same coin; an empty table gives an empty table; clashing columns of the input are replaced.
+id, toss the same coin; an empty table gives an empty table; columns of the input named as an added one are replaced, all
+others stay; a text of any length is counted whole within its row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rangegrid.functions.names import fresh
 from rangegrid.llm.common import columns_clear, word_count
 
 #: The weights of the sources in order, repeating; what all targets add up to, in percent of all sizes; and the most
@@ -53,17 +55,18 @@ def coin(doc_id, seed: str = SEED):
 
 def plan(docs: DataFrame, text: str = "text", seed: str = SEED, **shares) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes the document."""
-    docs = columns_clear(docs, "size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text)))
+    docs = columns_clear(docs, "size", "source_size", "target", "copies")
+    of, rate = fresh(docs, "source", "rate")
+    docs = docs.withColumn("size", word_count(F.col(text)))
     # one row a source; partial sums come before the shuffle, so that a hot source moves no more than others
     sized = docs.groupBy(F.col("source").alias("source")).agg(F.sum("size").alias("source_size"))
-    goal = targets(sized, **shares).select(F.col("source").alias("_source"), "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = targets(sized, **shares).select(F.col("source").alias(of), "source_size", "target")
     return (
-        docs.join(goal, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("_rate", rate)
-        .withColumn("copies", F.floor("_rate") + F.when(coin(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0))
-        .drop("_rate")
+        docs.join(goal, F.col("source").eqNullSafe(F.col(of)))
+        .drop(of)
+        .withColumn(rate, F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+        .withColumn("copies", F.floor(rate) + F.when(coin(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate), 1).otherwise(0))
+        .drop(rate)
     )
 
 

@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds, compiled into one projection of native expressions.
 
 Defined results: a null or empty text counts as a text without words and fails the least number of words; ties and
-repeated rows are judged row by row; an empty table gives an empty table; columns of the input that clash with the
-added ones are replaced.
+repeated rows are judged row by row; an empty table gives an empty table; columns of the input named as an added one are
+replaced, all others stay; a text of any length is judged whole within its row, whose words, their hashes and places are
+arrays in memory, some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangegrid.functions.names import fresh
 from rangegrid.llm.common import WORD, columns_clear
 
 #: Frequent function words of English, French, German and Spanish.
@@ -66,34 +68,34 @@ def metrics(df: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     are sorted with their places, equal neighbours mark places, and a fold over these counts the words they cover.
     """
     df, kept = columns_clear(df, *METRICS), [c for c in df.columns if c.lower() not in METRICS]
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = df.withColumns({"_t": t})
-    step = step.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))})
-    step = step.withColumns({"_n": F.size("_w"), "_h": F.transform("_w", lambda x: F.xxhash64(x))})
-    hashed = F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get(F.col("_h"), i + k) for k in range(1, window)]))
-    step = step.withColumn("_win", F.when(F.col("_n") >= window, F.slice(hashed, F.lit(1), F.col("_n") - (window - 1))).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_s", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), pairs))
-    twin = lambda x, i: (F.coalesce(F.get(F.col("_s"), i - 1)["h"] == x["h"], F.lit(False)) & (i > 0)) | F.coalesce(F.get(F.col("_s"), i + 1)["h"] == x["h"], F.lit(False))
-    step = step.withColumn("_at", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(F.filter("_s", twin), lambda x: x["i"]))))
+    t, w, lines, n, h, win, s, at = fresh(df, "t", "w", "lines", "n", "h", "win", "s", "at")
+    step = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    step = step.withColumns({w: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))})
+    step = step.withColumns({n: F.size(w), h: F.transform(w, lambda x: F.xxhash64(x))})
+    hashed = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(F.col(h), i + k) for k in range(1, window)]))
+    step = step.withColumn(win, F.when(F.col(n) >= window, F.slice(hashed, F.lit(1), F.col(n) - (window - 1))).otherwise(F.array().cast("array<bigint>")))
+    pairs = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step = step.withColumn(s, F.when(F.size(F.array_distinct(win)) < F.size(win), pairs))
+    twin = lambda x, i: (F.coalesce(F.get(F.col(s), i - 1)["h"] == x["h"], F.lit(False)) & (i > 0)) | F.coalesce(F.get(F.col(s), i + 1)["h"] == x["h"], F.lit(False))
+    step = step.withColumn(at, F.when(F.col(s).isNotNull(), F.sort_array(F.transform(F.filter(s, twin), lambda x: x["i"]))))
     covered = F.aggregate(
-        "_at",
+        at,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")),
         lambda a, x: F.struct((a["n"] + F.least(F.lit(window), x - a["last"])).alias("n"), x.alias("last")),
         lambda a: a["n"],
     )
-    low = [w.lower() for w in STOP_WORDS]
+    low = [x.lower() for x in STOP_WORDS]
     return step.select(
-        *kept,
-        _long(F.col("_n")).alias("n_words"),
-        F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-        _long(F.char_length("_t") - F.char_length(F.regexp_replace("_t", SYMBOLS, ""))).alias("n_symbols"),
-        _long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
+        *[F.col(f"`{c}`") for c in kept],
+        _long(F.col(n)).alias("n_words"),
+        F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
+        _long(F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))).alias("n_symbols"),
+        _long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-        _long(F.size("_lines")).alias("n_lines"),
-        _long(F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\t]*[-*•]")))).alias("n_bullet_lines"),
-        _long(F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$")))).alias("n_cut_lines"),
-        _long(F.size(F.filter("_w", lambda x: F.lower(x).isin(low)))).alias("n_stop_words"),
+        _long(F.size(lines)).alias("n_lines"),
+        _long(F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\t]*[-*•]")))).alias("n_bullet_lines"),
+        _long(F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$")))).alias("n_cut_lines"),
+        _long(F.size(F.filter(w, lambda x: F.lower(x).isin(low)))).alias("n_stop_words"),
     )
 
 
@@ -113,12 +115,12 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with METRICS, ``base_failed`` (any of BASE_RULES broken) and ``kept`` (no rule broken)."""
-    df = columns_clear(df, "base_failed", "kept", "_ok", "_place")
-    base = tuple(r for r in RULES if r.name in BASE_RULES)
-    judged = metrics(df, text).withColumns({"base_failed": ~verdict(base), "_ok": verdict(base) & verdict(rules), "_place": F.monotonically_increasing_id()})
+    df = columns_clear(df, "base_failed", "kept")
+    base, (ok, place) = tuple(r for r in RULES if r.name in BASE_RULES), fresh(df, "ok", "place")
+    judged = metrics(df, text).withColumns({"base_failed": ~verdict(base), ok: verdict(base) & verdict(rules), place: F.monotonically_increasing_id()})
     # the place is never negative, but no optimizer knows: a filter on the verdict stays above the projection, where the
     # metrics are computed once, instead of repeating their expressions in itself
-    return judged.withColumn("kept", F.col("_ok") & (F.col("_place") >= 0)).drop("_ok", "_place")
+    return judged.withColumn("kept", F.col(ok) & (F.col(place) >= 0)).drop(ok, place)
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secret scans: three fixed patterns, and sliding-window entropy over candidate strings; native expressions only.
 
 Places are code points, ends exclusive. Defined results: a null or empty text has no span; every row is scanned by
-itself, so ties, repeated rows and empty tables need nothing; clashing columns of the input are replaced; texts are
-scanned whole, whatever their length.
+itself, so ties, repeated rows and empty tables need nothing; columns of the input named as an added one are replaced, all
+others stay; texts are scanned whole, whatever their length, within their row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangegrid.functions.names import fresh
 from rangegrid.llm.common import columns_clear
 
 #: Kind -> (pattern, group that must be long enough, its least length). A run that is too short as a whole has no
@@ -41,6 +42,8 @@ ALLOW = (
     r"(?i)^sha(1-([0-9a-f]{40}|[a-z0-9+/_-]{27}=?)|256-([0-9a-f]{64}|[a-z0-9+/_-]{43}=?)|384-([0-9a-f]{96}|[a-z0-9+/_-]{64})|512-([0-9a-f]{128}|[a-z0-9+/_-]{86}={0,2}))$",
 )
 MASK = "[SECRET]"
+#: Matches of a text that are gathered at a time.
+SPANS_A_PART = 256
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int, with_text: bool = False) -> Column:
@@ -63,8 +66,18 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         return F.struct((start + x["len"]).alias("at"), F.when(F.char_length(x["value"]) >= least, longer).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(f"array<{kind_of}>")
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    named = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  a fold over one element computes it once
+
+    def part(matches):
+        def next_part(acc, k):
+            own = F.aggregate(F.slice(matches, k * SPANS_A_PART + 1, F.lit(SPANS_A_PART)), F.struct(acc["at"].alias("at"), none.alias("out")), add)
+            return named(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        last = F.floor((F.size(matches) - 1) / SPANS_A_PART).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind_of}>>").alias("out")), next_part, lambda acc: F.flatten(acc["out"]))
+
+    # an array grows by copying, so that spans are gathered in parts
+    return F.when(text.rlike(pattern), named(rows, part)).otherwise(none)
 
 
 def entropy(value: Column, window: int = WINDOW) -> Column:
@@ -110,13 +123,14 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     A candidate whose entropy is high enough is a span of kind entropy unless a base span overlaps it.
     """
-    df = columns_clear(df, "base_spans", "spans", "_t", "_cand", "_more")
-    found = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    parts = [_spans(F.col("_t"), kind, k, *spec) for k, (kind, spec) in enumerate(BASE.items())]
-    found = found.withColumns({"base_spans": F.sort_array(F.concat(*parts)), "_cand": _spans(F.col("_t"), "entropy", len(BASE), CANDIDATE, 2, 20, with_text=True)})
+    df = columns_clear(df, "base_spans", "spans")
+    t, found, more = fresh(df, "t", "found", "more")
+    parts = [_spans(F.col(t), kind, k, *spec) for k, (kind, spec) in enumerate(BASE.items())]
+    step = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    step = step.withColumns({"base_spans": F.sort_array(F.concat(*parts)), found: _spans(F.col(t), "entropy", len(BASE), CANDIDATE, 2, 20, with_text=True)})
     free = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    more = F.transform(F.filter(F.filter("_cand", free), lambda x: _suspicious(x["value"])), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["stop"].alias("stop"), x["kind"].alias("kind")))
-    return found.withColumn("_more", more).withColumn("spans", F.sort_array(F.concat("base_spans", "_more"))).drop("_t", "_cand", "_more")
+    fresh_ones = F.transform(F.filter(F.filter(found, free), lambda x: _suspicious(x["value"])), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    return step.withColumn(more, fresh_ones).withColumn("spans", F.sort_array(F.concat("base_spans", more))).drop(t, found, more)
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:

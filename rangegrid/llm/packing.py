@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rangegrid.functions.names import constant_array
 from rangegrid.llm.common import CACHE_BYTES, encode_column, text_batches, tokenizer_path, written
 
 #: Tokens of a sequence; the id that ends a document; bytes of text that are tokenized at once.
@@ -137,8 +138,8 @@ def pack(cut: DataFrame, most: int = MOST, pieces_a_part: int = PIECES_A_PART) -
     if len(slots) > 64 * most + 64:
         raise AssertionError(f"{len(slots)} rows in the plan for lengths up to {most}")
     table = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], "_length bigint, _from bigint, _to bigint, _first bigint, _each bigint, _offset bigint")
-    parts = {n: min(MOST_PARTS, -(-c // pieces_a_part)) for n, c in counts.items() if c > pieces_a_part}
-    of = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("length")], F.lit(1)) if parts else F.lit(1)
+    parts = [max(1, min(MOST_PARTS, -(-counts.get(n, 0) // pieces_a_part))) for n in range(most)]
+    of = F.get(constant_array(parts, "int"), F.col("length").cast("int"))
     # a row a length and part: 20,000 parts of the commonest lengths at most
     dealt = cut.where(F.col("length") < most).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of))
     sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))

@@ -330,3 +330,53 @@ def test_pipeline(spark):
     whole = corpus_pipeline.run(spark, sf)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
     assert packing.MOST == 2048
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, shared and missing ids, clashing names; and no document at all."""
+    from tests.llm.test_native import quality_by_hand, spans_by_hand
+    from tests.llm.test_tokens import check_packing
+
+    rng = np.random.default_rng(2)
+    prose = [" ".join(f"{w} of the" for w in rng.permutation(3000)[:400].astype(str)) for _ in range(6)]
+    rows = [(r.doc_id, r.text, r.source) for r in odd_documents(spark).collect()]
+    rows += [(40, prose[0], "a"), (40, prose[1], None), (40, prose[1], None), (None, prose[2], "b"), (None, prose[3], None), (None, None, None), (41, prose[0] + " end", "c"), (42, prose[4] + " password = 'Zx81kQ72mPl09'", "c"), (43, prose[5] * 60, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as bigint) as n_chars", "1 as _row", "2 as kept", "3 as spans", "4 as copies")
+    df.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    columns, kept = stage.columns, None
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage = f(spark, stage, str(tmp_path)).cache()
+        assert stage.columns == columns
+        got = stage.collect()
+        assert all((r["_row"], r.kept, r.spans, r.copies) == (1, 2, 3, 4) for r in got)
+        if k == 0:
+            assert got and all(not quality_by_hand(r.text)[5] for r in got)
+            kept = got
+        if k == 1:
+            # of each group the row that comes first by id: 40 before 41; rows that share an id, or have none, by themselves
+            want = Counter()
+            for d, text in {(r.doc_id, r.text) for r in kept}:
+                alike = [x for x, t in {(r.doc_id, r.text) for r in kept} if len(shingle_set(t) & shingle_set(text)) * 10 >= 8 * len(shingle_set(t) | shingle_set(text))]
+                want[d, text] += d is None and all(x is None for x in alike) or d is not None and d == min(x for x in alike if x is not None)
+            assert Counter((r.doc_id, r.text) for r in got) == +want
+            assert (40, prose[0]) in want and not any(r.doc_id == 41 for r in got) and {r.text for r in got if r.doc_id is None} >= {prose[2], prose[3]}
+        if k == 2:
+            assert all(not spans_by_hand(r.text)[0] and r.n_chars == len(r.text) for r in got) and any("[SECRET]" in r.text for r in got)
+    packed = corpus_pipeline.STAGES[4][1](spark, stage, str(tmp_path)).collect()
+    check_packing(packed, stage.collect())
+    whole = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and none.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+
+
+@pytest.mark.skipif(not os.environ.get("RANGEGRID_RECALL"), reason="compares all pairs of a table: minutes; set RANGEGRID_RECALL to the folder")
+def test_near_join_recall(spark):
+    """Links that the join finds, out of all pairs of a whole table with a Jaccard index of 0.8 or more."""
+    rows = [(r.doc_id, r.text) for r in docs_of(spark, os.environ["RANGEGRID_RECALL"]).collect()]
+    want, got = near_by_hand(rows), near.join(docs_of(spark, os.environ["RANGEGRID_RECALL"])).collect()
+    found, there = sum(r.n_links for r in got), sum(r[2] for r in want)
+    print(f"recall {found / max(1, there):.6f} of {there // 2} links in {len(rows)} documents")
+    assert sorted([tuple(r)[:4] for r in got], key=str) == sorted(want, key=str)

@@ -341,7 +341,8 @@ def candidate_groups(classes: DataFrame, threshold: float = THRESHOLD) -> DataFr
     chosen = buckets.groupBy("n", "hub", "x1", "x2").agg(F.min("band").alias("band")).select("band", "n")
     members = banded.join(chosen, "band").join(classes.select("node", "sig"), "node")
     tasks = _blocked(members.select("band", "n", "node", "sig"), "band")
-    edges = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_likely(threshold), "u bigint, v bigint")
+    # few bytes and much work: as many tasks as the session has for a shuffle, not as few as the bytes ask for
+    edges = tasks.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_likely(threshold), "u bigint, v bigint")
     return components(written(edges.distinct(), "likely"), "u", "v").withColumnRenamed("root", "group")
 
 
@@ -409,7 +410,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     # one row of each text: rows that repeat id and text lie in one partition already
     texts = chosen.join(docs.select("r1", "r2", "text"), ["r1", "r2"]).dropDuplicates(["r1", "r2"]).drop("r1", "r2")
     tasks = _blocked(_with_sets(texts), "group").select("group", "i", "j", "key", "block", "n_docs", "sig", "set")
-    found = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_verify(threshold), "key binary, n bigint, root binary")
+    found = tasks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_verify(threshold), "key binary, n bigint, root binary")
     found = written(found, "links")
     links = found.groupBy("key").agg(F.sum("n").alias("n"))
     linked = components(found, "key", "root").withColumnsRenamed({"node": "key"})

@@ -109,25 +109,25 @@ def places(a: Column) -> Column:
 
 
 def links(a: Column) -> Column:
-    """For each anchor a hash of its own hash, that of the next anchor and the distance to it; the last anchor stands alone."""
+    """The distinct links of a fingerprint: for each anchor a hash of its own hash, that of the next anchor and the distance to it; the last stands alone."""
 
     def link(x, i):
         after = F.get(a, i + 1)
         return F.xxhash64(x.bitwiseAND(HASH_MASK), after.bitwiseAND(HASH_MASK), F.shiftright(after, PLACE_SHIFT) - F.shiftright(x, PLACE_SHIFT))
 
-    return F.transform(a, link)
+    return F.array_distinct(F.transform(a, link))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard index of the sets of all links of two arrays of ``links``."""
+    """The Jaccard index of two fingerprints' ``links``."""
     shared = F.size(F.array_intersect(a, b))
-    every = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - shared
+    every = F.size(a) + F.size(b) - shared
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / every)
 
 
 def as_text(a: Column) -> Column:
-    """16 hexadecimal digits an anchor: its place in eight, its hash in eight."""
-    return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """Hexadecimal numbers, comma-joined, an anchor each: its hash in the last eight digits, its place before them."""
+    return F.array_join(F.transform(a, lambda x: F.hex(x)), ",")
 
 
 def _borders(df: DataFrame, key: str, ranges: int | None) -> list:
@@ -186,22 +186,32 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", ranges: in
     return joined.withColumns(picked).drop(at, more, of, after, head)
 
 
+def _anchors_and_links(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with column ``out``: (a: anchors, l: links of the fingerprint) of ``text``."""
+    found, fp, l_ = fresh(df, "a", "f", "l")
+    step = with_anchors(df, text, found)
+    step = step.withColumn(fp, marked(F.col(found), F.col(text)))
+    step = step.withColumn(l_, links(F.col(fp)))
+    return step.withColumn(out, F.struct(F.col(found).alias("a"), F.col(l_).alias("l"))).drop(found, fp, l_)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # only texts are shuffled; a text's anchors are found once, after it
-    docs = with_next(docs, also=with_anchors)
+    # only texts are shuffled; a text's anchors and links are found once, after it
+    docs = with_next(docs, also=_anchors_and_links)
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
     docs = docs.withColumns({"n_a": F.col("n_chars").cast("int") - F.col("q"), "n_b": F.least(F.col("q"), F.char_length("next_text"))})
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_a")), F.substring(F.col("next_text"), F.lit(1), F.col("n_b"))))
-    docs = with_spliced(docs, "edited", "out", "n_a", "next_out", "n_b", "edited_out")
-    docs = docs.withColumns({x: marked(F.col(x), F.col(text)) for x, text in (("out", "text"), ("next_out", "next_text"), ("edited_out", "edited"))})
-    docs = docs.withColumns({f"links_{c}": links(F.col(c)) for c in ("out", "next_out", "edited_out")})
+    docs = docs.withColumns({"a": F.col("out.a"), "next_a": F.col("next_out.a")})
+    docs = with_spliced(docs, "edited", "a", "n_a", "next_a", "n_b", "edited_a")
+    docs = docs.withColumns({"fp": marked(F.col("a"), F.col("text")), "edited_fp": marked(F.col("edited_a"), F.col("edited"))})
+    docs = docs.withColumn("edited_l", links(F.col("edited_fp")))
     return docs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("out")).alias("fingerprint"),
-        as_text(F.col("edited_out")).alias("edited_fingerprint"),
-        likeness(F.col("links_out"), F.col("links_edited_out")).alias("near_edited"),
-        likeness(F.col("links_out"), F.col("links_next_out")).alias("near_next"),
+        as_text(F.col("fp")).alias("fingerprint"),
+        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("out.l"), F.col("edited_l")).alias("near_edited"),
+        likeness(F.col("out.l"), F.col("next_out.l")).alias("near_next"),
     )

@@ -166,7 +166,7 @@ def fingerprints_by_hand(docs):
     """All columns of the query for rows (doc_id, text)."""
     docs = [(d, t or "") for d, t in docs]
     follow, out = next_by_hand(docs), []
-    digits = lambda f: "".join(f"{p:08x}{h:08x}" for p, h in f)
+    digits = lambda f: ",".join(f"{p << 32 | h:X}" for p, h in f)
     for i, (doc, text) in enumerate(docs):
         q, after = len(text) // 4, docs[follow[i]][1]
         edited = text[: len(text) - q] + after[:q]

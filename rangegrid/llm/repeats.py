@@ -325,9 +325,9 @@ def _runs(cover: np.ndarray, begin: int, size: int) -> tuple[list[int], list[int
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-#: Rows that ``_scanned`` makes of a context: its covered runs; or its place in a group of repeats; or itself, left over.
-_SCANNED = {"hash": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "node": pa.int64(), "length": pa.int64(), "starts": pa.list_(pa.int32()), "stops": pa.list_(pa.int32()), "n": pa.int64(), "text": pa.binary()}
-_SCANNED_SCHEMA = "hash bigint, c1 bigint, c2 bigint, node bigint, length bigint, starts array<int>, stops array<int>, n bigint, text binary"
+#: Rows that ``_scanned`` makes of a context: its covered runs, or its place in a group of repeats.
+_SCANNED = {"hash": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "node": pa.int64(), "length": pa.int64(), "starts": pa.list_(pa.int32()), "stops": pa.list_(pa.int32())}
+_SCANNED_SCHEMA = "hash bigint, c1 bigint, c2 bigint, node bigint, length bigint, starts array<int>, stops array<int>"
 
 
 def _covered(rows: list[list], least: int):
@@ -336,7 +336,7 @@ def _covered(rows: list[list], least: int):
     for k, r in enumerate(rows):
         starts, stops = _runs(cover, int(begin[k]), len(r[4]))
         if starts:
-            yield (*r[:3], None, None, starts, stops, None, None)
+            yield (*r[:3], None, None, starts, stops)
 
 
 def _grouped(rows: list[list], least: int):
@@ -349,10 +349,10 @@ def _grouped(rows: list[list], least: int):
         for t, x in zip(text.tolist(), (at - begin[text]).tolist(), strict=True):
             if not x and length == len(rows[t][4]):
                 whole.add(t)
-            yield (*rows[t][:3], node, length, [x], [x + length], None, None)
+            yield (*rows[t][:3], node, length, [x], [x + length])
     for t, r in enumerate(rows):
         if r[3] > 1 and t not in whole:
-            yield (*r[:3], len(found) + t, len(r[4]), [0], [len(r[4])], None, None)
+            yield (*r[:3], len(found) + t, len(r[4]), [0], [len(r[4])])
 
 
 def _scanned(least: int, scan, most: int):
@@ -360,36 +360,39 @@ def _scanned(least: int, scan, most: int):
 
     Copies that different tasks counted are added up. A context that no other shares the anchor with has nothing to be
     compared with: its tree is one leaf, and copies make it a repeat. Contexts of an anchor that has more than ``most``
-    distinct ones, or is wide, are passed on as they are, so that no more than these are ever held.
+    rows, or is wide, are left to ``_left_over``, so that no more than these are ever held.
     """
 
     def merged(batches):
+        """[hash, c1, c2, n, text, wide, rows that made it]"""
         last = None
         for b in batches:
             for row in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("hash", "c1", "c2", "n", "text", "wide")), strict=True):
                 if last and last[:3] == list(row[:3]):
                     last[3] += row[3]
+                    last[6] += 1
                 else:
                     if last:
                         yield last
-                    last = list(row)
+                    last = [*row, 1]
         if last:
             yield last
 
-    left_over = lambda r: (*r[:3], None, None, None, None, r[3], r[4])
-
     def scanned(batches):
         rows, size = [], 0
         for _, own in groupby(merged(batches), key=lambda r: r[0]):
-            held = list(islice(own, most + 1))
-            if len(held) > most or held[0][5]:
-                yield from map(left_over, held)
-                yield from map(left_over, own)
-            elif len(held) == 1:
+            held, count = [], 0
+            for r in own:
+                count += r[6]
+                if r[5] or count > most:
+                    held = []
+                    break
+                held.append(r)
+            if len(held) == 1:
                 if held[0][3] > 1:
                     n = len(held[0][4])
-                    yield (*held[0][:3], 0, n, [0], [n], None, None)
-            else:
+                    yield (*held[0][:3], 0, n, [0], [n])
+            elif held:
                 if rows and (size > ARRAY or scan is _grouped):  # the nodes of a tree are numbered by anchor
                     yield from scan(rows, least)
                     rows, size = [], 0
@@ -406,6 +409,32 @@ def _scanned(least: int, scan, most: int):
     return run
 
 
+def _left_over(most: int):
+    """Contexts by hash -> those of anchors that have more than ``most`` rows or are wide, as they come."""
+
+    def run(batches):
+        own, held, count, passes = None, [], 0, False
+        for b in batches:
+            hashes = np.asarray(b.column(b.schema.get_field_index("hash")))
+            wide = b.column(b.schema.get_field_index("wide")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(hashes[1:] != hashes[:-1]) + 1).tolist(), len(hashes)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if hashes[x] != own:
+                    own, held, count, passes = hashes[x], [], 0, bool(wide[x])
+                count += y - x
+                if not passes and count <= most and y < len(hashes):
+                    continue  # the run ends within this batch, and is small
+                held.append(b.slice(x, y - x))
+                if passes or count > most:
+                    passes = True
+                    yield from held
+                    held = []
+
+    return run
+
+
 def _windows(least: int):
     """Contexts left over -> (w1, w2, hash, c1, c2, at, n): hashes and places of all their windows."""
     names = ["w1", "w2", "hash", "c1", "c2", "at", "n"]
@@ -471,16 +500,16 @@ def _contexts_of(marked: DataFrame, least: int, scan, most: int) -> tuple[DataFr
     """(scanned contexts, windows of those left over that occur again, places of all contexts)."""
     kind = marked.schema["doc_id"].dataType.simpleString()
     distinct = marked.mapInArrow(_contexts(least, True), "hash bigint, wide boolean, c1 bigint, c2 bigint, n bigint, text binary")
-    # the contexts of an anchor meet, save those of a wide one, which are spread
-    scanned = distinct.repartition("hash", F.when(F.col("wide"), F.col("c1"))).sortWithinPartitions("hash", "c1", "c2").mapInArrow(_scanned(least, scan, most), _SCANNED_SCHEMA)
-    scanned = written(scanned, "contexts", 10_000)
-    windows = scanned.where("text is not null").mapInArrow(_windows(least), "w1 bigint, w2 bigint, hash bigint, c1 bigint, c2 bigint, at int, n bigint")
+    # the contexts of an anchor meet, save those of a wide one, which are spread; both readers share this exchange
+    met = distinct.repartition("hash", F.when(F.col("wide"), F.col("c1"))).sortWithinPartitions("hash", "c1", "c2")
+    scanned = met.mapInArrow(_scanned(least, scan, most), _SCANNED_SCHEMA)
+    windows = met.mapInArrow(_left_over(most), met.schema).mapInArrow(_windows(least), "w1 bigint, w2 bigint, hash bigint, c1 bigint, c2 bigint, at int, n bigint")
     often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
     places = marked.mapInArrow(_contexts(least, False), f"doc_id {kind}, r1 bigint, r2 int, hash bigint, c1 bigint, c2 bigint, base bigint")
-    return scanned.where("text is null"), windows.join(often, ["w1", "w2"]), places
+    return scanned, windows.join(often, ["w1", "w2"]), places
 
 
-#: Distinct contexts of one anchor that meet in a task (360 bytes each at the usual lengths); anchors that occur more often
+#: Contexts of one anchor that meet in a task (360 bytes each at the usual lengths); anchors that occur more often
 #: than SPREAD are never gathered. Beyond either, windows are compared one by one, dealt by their hashes.
 MOST_CONTEXTS, SPREAD = 8_000, 200_000
 
@@ -510,7 +539,7 @@ def groups(docs: DataFrame, text: str = "text", least: int = LEAST, anchor: int
     _, marked = _prepared(docs, text, least, anchor, spread)
     scanned, windows, places = _contexts_of(marked, least, _grouped, most)
     own = scanned.select(F.xxhash64("hash", "node", "length").alias("g"), F.col("length"), "hash", "c1", "c2", F.col("starts")[0].alias("at"))
-    single = windows.select(F.xxhash64(F.lit("window"), "w1", "w2").alias("g"), F.lit(least).cast("long").alias("length"), "hash", "c1", "c2", "at")
+    single = windows.select(F.xxhash64(F.lit("window"), "w1", "w2").alias("g"), F.lit(least).cast("long").alias("length"), "hash", "c1", "c2", "at").distinct()
     found = written(own.unionByName(single).join(places, ["hash", "c1", "c2"]).select("g", "length", "doc_id", "r1", "r2", (F.col("base") + F.col("at")).alias("place")), "occurrences")
     # sums over the occurrences that stay the same when all of them are moved by one distance
     h = [F.pmod(F.xxhash64(F.lit(k), "r1", "r2"), F.lit(2**31 - 1)).cast("decimal(38,0)") for k in (1, 2)]

@@ -30,6 +30,13 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
+def _sink(path: str):
+    """A stream that writes a new file; folders above it are made."""
+    system, where = _open(path)
+    system.create_dir(os.path.dirname(where), recursive=True)
+    return system.open_output_stream(where)
+
+
 class _Rows(InputPartition):
     def __init__(self, first: int, n: int, col: int = 0, at: int = 0):
         self.first, self.n, self.col, self.at = first, n, col, at
@@ -140,10 +147,7 @@ def _write_parts(ordered: DataFrame, groups: list[list[str]], folder: str) -> li
             for b in batches:
                 if not sinks:
                     names = [f"{folder}/{part:06d}-{k}-{uuid.uuid4().hex}" for k in range(len(groups))]
-                    for name in names:
-                        system, where = _open(name)
-                        system.create_dir(os.path.dirname(where), recursive=True)
-                        sinks.append(system.open_output_stream(where))
+                    sinks = [_sink(name) for name in names]
                 for sink, own in zip(sinks, groups, strict=True):
                     values = np.stack([np.asarray(b.column(b.schema.get_field_index(c)).cast(pa.int64())) for c in own], axis=1)
                     if len(values) and (values.min() < 0 or values.max() >= 2**32):
@@ -179,8 +183,7 @@ def write_columns(df: DataFrame, path: str, columns: list[str]) -> None:
     folder = f"{path}-parts-{uuid.uuid4().hex}"
     cast = [F.col(c).cast("bigint").alias(f"c{k}") for k, c in enumerate(columns)]
     made = _write_parts(df.select("rid", *cast).orderBy("rid"), [[f"c{k}"] for k in range(len(columns))], folder)
-    system, where = _open(path)
-    with system.open_output_stream(where) as sink:
+    with _sink(path) as sink:
         for k in range(len(columns)):
             _append(sink, [files[k] for _, _, files in made])
     _drop(folder)
@@ -188,8 +191,7 @@ def write_columns(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def write_maps(maps: list[DataFrame], path: str) -> None:
     """int32 number of columns; per column uint32 size and (value, first position) pairs, ascending."""
-    system, where = _open(path)
-    with system.open_output_stream(where) as sink:
+    with _sink(path) as sink:
         sink.write(np.array([len(maps)], "<i4").tobytes())
         for m in maps:
             folder = f"{path}-parts-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from rangegrid.functions.names import constant_array, fresh
 
 #: Rows that one task ranks, about; the most ranges that a column is dealt into; rows sampled to place the borders of
 #: ranges of strings, which have no say in results.
-ROWS_A_RANGE, MOST_PARTS, SAMPLED_ROWS = 500_000, 65_536, 200_000
+ROWS_A_RANGE, MOST_PARTS, SAMPLED_ROWS = 100_000, 65_536, 200_000
 #: Borders compared one after the other, twice, to find a value's range.
 STEP = 256
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangegrid.functions.names import fresh
-from rangegrid.llm.common import columns_clear, word_count
+from rangegrid.llm.common import columns_clear, word_count, written
 
 #: The weights of the sources in order, repeating; what all targets add up to, in percent of all sizes; and the most
 #: that a source's target may be, in multiples of its size.
@@ -60,7 +60,8 @@ def plan(docs: DataFrame, text: str = "text", seed: str = SEED, **shares) -> Dat
     docs = docs.withColumn("size", word_count(F.col(text)))
     # one row a source; partial sums come before the shuffle, so that a hot source moves no more than others
     sized = docs.groupBy(F.col("source").alias("source")).agg(F.sum("size").alias("source_size"))
-    goal = targets(sized, **shares).select(F.col("source").alias(of), "source_size", "target")
+    # a written table has a known size: Spark broadcasts it below its own threshold, and documents aren't dealt by source
+    goal = written(targets(sized, **shares).select(F.col("source").alias(of), "source_size", "target"), "targets")
     return (
         docs.join(goal, F.col("source").eqNullSafe(F.col(of)))
         .drop(of)

@@ -80,34 +80,50 @@ def word_count(text):
 
 # ---- tokenizing ----
 
-#: Bytes that a worker's words and their ids may take, about; only memory and time depend on it, results don't.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 64 << 20, 200, 64
-#: Letters that the vocabulary's normal form changes by case only, so that such a word may go straight to the model.
+#: Bytes of the words, and their ids, that a worker keeps, about; only memory and time depend on it, results don't.
+CACHE_BYTES = 24 << 20
+#: Letters that the vocabulary's normal form changes by case only, so that such a word may go straight to the model; and words
+#: of these, with or without full stops and commas after them.
 _PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
+_PLAIN_WORD = r"^[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[.,]*$"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-class _Words:
-    """Ids of words in two generations: words that are asked for stay, the others go when the newer one is full."""
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of stretches of these sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0)) + total) < 2**31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return at
 
-    def __init__(self):
-        self.new, self.old, self.size = {}, {}, 0
 
-    def put(self, word: str, ids: bytes, most: int) -> None:
-        if len(word) > LONGEST_KEPT:
-            return
-        if self.size > most // 2:
-            self.old, self.new, self.size = self.new, {}, 0
-        self.new[word] = ids
-        self.size += ENTRY_BYTES + len(word) + len(ids)
+class _Words:
+    """Words and their ids, as columns: word k has flat[starts[k] : starts[k] + sizes[k]]."""
 
-    def get(self, word: str, most: int) -> bytes | None:
-        ids = self.new.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is not None:
-                self.put(word, ids, most)
-        return ids
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word, whether it is there)."""
+        at = pc.index_in(words, value_set=self.words)
+        return np.asarray(pc.fill_null(at, 0), np.int64), np.asarray(at.is_valid().to_numpy(zero_copy_only=False), bool)
+
+    def add(self, words: pa.Array, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray, most: int) -> None:
+        """Take more words; if they are too many, those that weren't used just now go, then all."""
+        if self.words.nbytes + self.flat.nbytes + words.nbytes + flat.nbytes > most:
+            used = np.unique(used)
+            self.words, self.flat = self.words.take(pa.array(used)), self.flat[_stretches(self.starts[used], self.sizes[used])]
+            self.sizes = self.sizes[used]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            if self.words.nbytes + self.flat.nbytes + words.nbytes + flat.nbytes > most:
+                self.__init__()
+                return
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -140,28 +156,38 @@ def _loaded(path: str) -> tuple:
     return _TOKENIZERS[path]
 
 
-def _learn(path: str, words: list[str]) -> dict[str, bytes]:
-    """The ids of words that the worker's cache doesn't hold."""
+def _learn(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat ids, starts, sizes) of words that the worker doesn't hold."""
     t, _, letters, _ = _loaded(path)
-    found: dict[str, bytes] = {}
-    rest, ends, tokenize = [], {}, t.model.tokenize
-    for w in words:
-        body = w.rstrip(".,")
-        if letters is None or not body or not _PLAIN.fullmatch(body):
-            rest.append(w)
-            continue
-        ids = [x.id for x in tokenize(body.lower().translate(letters))]
-        if len(body) < len(w):
-            end = w[len(body) :]
-            if end not in ends:
-                ends[end] = t.encode(end, add_special_tokens=False).ids
-            ids += ends[end]
-        found[w] = array("I", ids).tobytes()
-    for at in range(0, len(rest), 20_000):
-        part = rest[at : at + 20_000]
-        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            found[w] = array("I", e.ids).tobytes()
-    return found
+    starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    plain = np.asarray(pc.match_substring_regex(words, _PLAIN_WORD).to_numpy(zero_copy_only=False), bool) if letters is not None else np.zeros(len(words), bool)
+    at, flat = np.flatnonzero(plain), array("I")
+    if len(at):
+        own = words.take(pa.array(at))
+        body = pc.utf8_rtrim(own, ".,")
+        size, ends, known = np.asarray(pc.utf8_length(body)), {}, {}
+        for k in np.flatnonzero(np.asarray(pc.utf8_length(own)) > size).tolist():
+            end = own[k].as_py()[size[k] :]
+            if end not in known:
+                known[end] = t.encode(end, add_special_tokens=False).ids
+            ends[k] = known[end]
+        # case and byte letters are changed in all words at once
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(body)], pa.int32()), body), pa.scalar("\n", body.type))[0].as_py()
+        stops, tokenize = [0], t.model.tokenize
+        for k, word in enumerate(whole.lower().translate(letters).split("\n")):
+            for token in tokenize(word):
+                flat.append(token.id)
+            if k in ends:
+                flat.extend(ends[k])
+            stops.append(len(flat))
+        starts[at], sizes[at] = stops[:-1], np.diff(stops)
+    rest = np.flatnonzero(~plain)
+    for begin in range(0, len(rest), 20_000):
+        part = rest[begin : begin + 20_000]
+        for k, e in zip(part.tolist(), t.encode_batch_fast(words.take(pa.array(part)).to_pylist(), add_special_tokens=False), strict=True):
+            starts[k], sizes[k] = len(flat), len(e)
+            flat.extend(e.ids)
+    return np.frombuffer(flat, np.uint32) if len(flat) else np.zeros(0, np.uint32), starts, sizes
 
 
 def encode_column(texts: pa.Array, path: str, cache_bytes: int = CACHE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -178,23 +204,20 @@ def encode_column(texts: pa.Array, path: str, cache_bytes: int = CACHE_BYTES) ->
     split = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(split.offsets, np.int64)
     coded = split.values.dictionary_encode()
-    code = np.asarray(coded.indices)
-    words = coded.dictionary.to_pylist()
-    raw = [cache.get(w, cache_bytes) for w in words]
-    fresh = _learn(path, [w for w, ids in zip(words, raw, strict=True) if ids is None])
-    if fresh:
-        raw = [fresh[w] if ids is None else ids for w, ids in zip(words, raw, strict=True)]
-        for w, ids in fresh.items():
-            cache.put(w, ids, cache_bytes)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-    flat = np.frombuffer(b"".join(raw), np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    code, words = np.asarray(coded.indices), coded.dictionary
+    at, known = cache.find(words)
+    starts, sizes, flat = cache.starts[at[known]], cache.sizes[at[known]], cache.flat
+    if not known.all():
+        lacking = words.take(pa.array(np.flatnonzero(~known)))
+        fresh, begin, n = _learn(path, lacking)
+        every_start, every_size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        every_start[known], every_size[known] = starts, sizes
+        every_start[~known], every_size[~known] = begin + len(flat), n
+        starts, sizes, flat = every_start, every_size, np.concatenate([flat, fresh])
+        cache.add(lacking, fresh, begin, n, at[known], cache_bytes)
     each = sizes[code]
     ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
-    kind = np.int32 if max(ends[-1], len(flat)) < 2**31 else np.int64
-    at = np.repeat((starts[code] - ends[:-1]).astype(kind), each)
-    at += np.arange(ends[-1], dtype=kind)
-    return flat[at], ends[bounds - bounds[0]]
+    return flat[_stretches(starts[code], each)], ends[bounds - bounds[0]]
 
 
 def text_batches(batches, column: str = "text", limit: int = 8 << 20):

@@ -21,7 +21,7 @@ from rangegrid.functions.names import constant_array
 from rangegrid.llm.common import CACHE_BYTES, encode_column, text_batches, tokenizer_path, written
 
 #: Tokens of a sequence; the id that ends a document; bytes of text that are tokenized at once.
-MOST, END_ID, AT_ONCE = 2048, 0, 4 << 20
+MOST, END_ID, AT_ONCE = 2048, 0, 8 << 20
 #: Pieces of one length that a task ranks; how many parts that may make.
 PIECES_A_PART, MOST_PARTS = 2_000, 20_000
 
@@ -154,7 +154,8 @@ def pack(cut: DataFrame, most: int = MOST, pieces_a_part: int = PIECES_A_PART) -
 
 def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, at_once: int = AT_ONCE, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """docs' pieces with the places that the plan gives them; with ``with_ids`` their token ids too."""
-    return pack(written(pieces(docs, text, path, with_ids=with_ids, at_once=at_once, cache_bytes=cache_bytes), "pieces"))
+    # batches of rows that hold about as much text as is tokenized at once
+    return pack(written(pieces(docs, text, path, with_ids=with_ids, at_once=at_once, cache_bytes=cache_bytes), "pieces", max(1000, at_once >> 10)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from rangegrid.llm.common import CACHE_BYTES, encode_column, text_batches, token
 #: Tokens of a sequence; the id that ends a document; bytes of text that are tokenized at once.
 MOST, END_ID, AT_ONCE = 2048, 0, 8 << 20
 #: Pieces of one length that a task ranks; how many parts that may make.
-PIECES_A_PART, MOST_PARTS = 2_000, 20_000
+PIECES_A_PART, MOST_PARTS = 500, 20_000
 
 
 def pieces(docs: DataFrame, text: str = "text", path: str | None = None, most: int = MOST, end_id: int = END_ID, with_ids: bool = False, at_once: int = AT_ONCE, cache_bytes: int = CACHE_BYTES) -> DataFrame:

@@ -10,10 +10,14 @@ MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 1 << 32
 
 
 def lcg(c: Column, seed: int) -> Column:
-    """A repeatable number below 2 ** 32 from an integer column: three rounds of the generator."""
+    """A repeatable number below 2 ** 32 from an integer column: three rounds of the generator, the upper half folded into the lower.
+
+    Without the fold, columns of different seeds would differ by a constant.
+    """
     out = (c + seed) % MODULUS
     for _ in range(3):
         out = (out * MULTIPLIER + INCREMENT) % MODULUS
+        out = out.bitwiseXOR(F.shiftright(out, 16))
     return out
 
 

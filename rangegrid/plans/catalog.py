@@ -482,7 +482,8 @@ def _(spark, sf):
 def _lcg(seed: int, c: str = "id") -> str:
     out = f"({c} + {seed}) % 4294967296"
     for _ in range(3):
-        out = f"(({out}) * 1664525 + 1013904223) % 4294967296"
+        step = f"((({out}) * 1664525 + 1013904223) % 4294967296)"
+        out = f"xor({step}, {step} >> 16)"
     return out
 
 

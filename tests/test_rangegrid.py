@@ -164,12 +164,19 @@ def test_datasets(spark, tmp_path, capsys):
     assert f'"0": {len(got)}' in capsys.readouterr().out
 
 
+def test_generated_columns_are_independent(spark):
+    got = np.array(datagen.uniform(spark, 20_000).collect(), float)[:, 1:]
+    assert np.abs(np.corrcoef(got.T) - np.eye(3)).max() < 0.03 and np.abs(got.mean(0) / 2**31 - 1).max() < 0.02
+    assert 0.012 < ((got[:, 0] < 2**29) & (got[:, 1] < 2**29)).mean() < 0.019
+
+
 def test_zipf(spark):
     got = np.array([(r.rid, r.c0, r.c1) for r in datagen.zipf(spark, 5000, 1.3, 2).collect()])
     for k in range(2):
         x = (np.arange(5000, dtype=np.uint64) + np.uint64(15485863 * k + 3)) % np.uint64(2**32)
         for _ in range(3):
             x = (x * np.uint64(1664525) + np.uint64(1013904223)) % np.uint64(2**32)
+            x ^= x >> np.uint64(16)
         want = np.floor(np.minimum(((x + np.uint64(1)) / 2.0**32) ** (-1 / 0.3), 4e9))
         own = got[np.argsort(got[:, 0]), k + 1]
         assert (np.abs(own - want) <= 1).all() and (own == want).mean() > 0.999

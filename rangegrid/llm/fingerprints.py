@@ -137,7 +137,7 @@ def _borders(df: DataFrame, key: str, ranges: int | None) -> list:
     """
     n = df.count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or max(2, min(MOST_RANGES, max(4 * parts, n // ROWS_A_RANGE)))
+    ranges = ranges or max(2, min(MOST_RANGES, max(16 * parts, n // ROWS_A_RANGE)))  # many a task, so that tasks are even
     if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
         got = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges))).first()[0] or []
     else:

@@ -43,16 +43,16 @@ def files_read(df: DataFrame) -> int:
 
 
 def workload(spark: SparkSession, name: str, n: int, work: str) -> dict:
-    """One lt query over three columns that keeps about an eighth of each of the first two, by index and by plain filter."""
+    """One le query over three columns that keeps about an eighth of each of the first two, by index and by plain filter."""
     raw = WORKLOADS[name](spark, n)
     raw.write.parquet(f"{work}/{name}-raw")
     raw = spark.read.parquet(f"{work}/{name}-raw")
     index, build = built(raw, "rid", ["c0", "c1", "c2"], f"{work}/{name}")
     cuts = [int(x) for x in raw.select(*[F.percentile_approx(c, 0.125, 1000) for c in ("c0", "c1")], F.percentile_approx("c2", 0.5, 1000)).first()]
-    lines = spark.createDataFrame([(k, f"lt {c}") for k, c in enumerate(cuts)], "line bigint, text string")
+    lines = spark.createDataFrame([(k, f"le {c}") for k, c in enumerate(cuts)], "line bigint, text string")
     b = predicates.assemble(predicates.parse_query_text(lines), index.maps, index.params.n).first()
     ranges = {c: (b[f"{c}lo"], b[f"{c}hi"]) for c in "xyz"}
-    plain = raw.where(" and ".join(f"c{k} < {c}" for k, c in enumerate(cuts))).select("rid")
+    plain = raw.where(" and ".join(f"c{k} <= {c}" for k, c in enumerate(cuts))).select("rid")
     near = query.candidates(index, **ranges)
     out = {
         "build": build,
